@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.sources.scratch import cut  # noqa: F401  used by the operators of this package
+
 #: The characters that count as white space in the contracts: \x20 and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\f\r"
 
@@ -30,27 +30,6 @@ def squeeze_space(text: Column) -> Column:
     return text
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's spark.checkpoint.dir, else one of this machine for local runs."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads them again, which ends the lineage.
-
-    The table survives lost executors. It is scratch: whoever owns the folder may clear it once the
-    results that depend on it are written.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tallyloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
