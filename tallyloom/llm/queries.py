@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, exact_dedup, media_tiff, packing, sharding, token_counts
+from tallyloom.llm import byte_bpe, exact_dedup, line_dedup, media_tiff, near_dedup, packing, sharding, token_counts
 from tallyloom.llm._shared import squeeze_space, text_or_empty
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -38,6 +38,10 @@ from t join g on t.norm = g.norm join k on t.norm = k.norm
 """
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), WORD_BPE)
 
@@ -85,16 +89,44 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_documents(spark, sf_dir))
+
+
+#: p is the length of the common prefix of two lines; one edit after it must make the rest equal.
+OP10_SQL = r"""
+with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+o as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as no from t),
+e as (select * from o where length(line) >= 16),
+d as (select line, length(line) as n, min((doc_id, no)) as first from e group by line),
+c as (
+  select a.line, a.n, b.line as other, b.n as m, coalesce(list_max(list_filter(generate_series(1, least(a.n, b.n)), lambda k: a.line[:k] = b.line[:k])), 0) as p
+  from d a join d b on abs(a.n - b.n) <= 1 and b.first < a.first
+    and (substr(a.line, 1, 4) = substr(b.line, 1, 4) or right(a.line, 4) = right(b.line, 4))),
+near as (
+  select distinct line from c where case when n = m then substr(line, p + 2) = substr(other, p + 2)
+    when n > m then substr(line, p + 2) = substr(other, p + 1) else substr(line, p + 1) = substr(other, p + 2) end),
+gone as (
+  select distinct e.doc_id, e.no from e join d on e.line = d.line left join near on e.line = near.line
+  where near.line is not null or (e.doc_id, e.no) <> d.first),
+g as (select doc_id, count(*) as k, string_agg(no::varchar, ',' order by no) as dropped from gone group by doc_id)
+select t.doc_id, len(t.lines)::bigint as n_lines, coalesce(g.k, 0)::bigint as n_dropped, coalesce(g.dropped, '') as dropped
+from t left join g on t.doc_id = g.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_near_dedup": op2_near_dedup,
         "op3_packing": op3_packing,
         "op4_sharding": op4_sharding,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_media": op8_media,
         "op9_token_counts": op9_token_counts,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_sharding": op4_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op4_sharding": op4_sql(), "op10_line_dedup": OP10_SQL}
