@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, exact_dedup, line_dedup, media_tiff, near_dedup, packing, sharding, token_counts
+from tallyloom.llm import byte_bpe, exact_dedup, language_id, line_dedup, media_tiff, near_dedup, packing, secret_scan, sharding, token_counts
 from tallyloom.llm._shared import squeeze_space, text_or_empty
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -64,10 +64,31 @@ select doc_id, source, n_bytes, slot, (instr('{letters}', substr('{table}', slot
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", F.coalesce(language_id.held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(_documents(spark, sf_dir), BYTE_BPE, ids=False)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f.kind == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f.kind, f.start, f.end)), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(listed(F.filter("findings", lambda f: f.kind != "net")), 256).alias("base_sha256"),
+        listed(F.col("findings")).alias("spans"),
+    )
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media_tiff.store_texts(_documents(spark, sf_dir))
     stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
@@ -121,7 +142,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": op2_near_dedup,
         "op3_packing": op3_packing,
         "op4_sharding": op4_sharding,
+        "op5_language_id": op5_language_id,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_secret_scan": op7_secret_scan,
         "op8_media": op8_media,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
