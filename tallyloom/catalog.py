@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.plans import measurement
+
+_PLANS = [measurement]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: entry[0] for plan in _PLANS for name, entry in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: entry[1] for plan in _PLANS for name, entry in plan.QUERIES.items() if entry[1]}
