@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import measurement
+from tallyloom.plans import ledgers, measurement
 
-_PLANS = [measurement]
+_PLANS = [measurement, ledgers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
