@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import ledgers, measurement
+from tallyloom.plans import ledgers, measurement, readings, texts
 
-_PLANS = [measurement, ledgers]
+_PLANS = [measurement, ledgers, texts, readings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -87,7 +87,7 @@ def fold_weights(acts: Column, held: Column) -> Column:
     names = F.array(*[F.lit(f"{c[2]}:{c[3]}") for c in CELLS])
     hold = F.array(F.struct(F.lit("NUL").alias("act"), F.lit("Figure").alias("grain"), F.lit(PPM).cast("long").alias("weight_ppm")))
     none = F.filter(hold, lambda _: F.lit(False))
-    given = F.transform(F.coalesce(acts, none), lambda e: F.struct(e.act.alias("act"), e.grain.alias("grain"), e.weight_ppm.cast("long").alias("weight_ppm")))
+    given = F.coalesce(F.transform(acts, lambda e: F.struct(e.act.alias("act"), e.grain.alias("grain"), e.weight_ppm.cast("long").alias("weight_ppm"))), none)
     events = F.when(F.size(given) > 0, given).when(held, hold).otherwise(none)
     known = F.forall(events, lambda e: F.array_contains(names, F.concat_ws(":", e.act, e.grain)))
     sums = F.transform(names, lambda n: F.aggregate(F.filter(events, lambda e: F.concat_ws(":", e.act, e.grain) == n), F.lit(0).cast("long"), lambda s, e: s + e.weight_ppm))
