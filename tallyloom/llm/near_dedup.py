@@ -117,7 +117,7 @@ def _pairs_in_lists(posts: DataFrame, threshold: float, shared: int) -> DataFram
     """(a, b) with a < b and sizes that allow the similarity, in at least so many lists together. Lists are short."""
     left = posts.select("value", F.col("rep").alias("a"), F.col("n").alias("na"))
     right = posts.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, "value").filter(f"a < b and na >= {threshold} * nb and nb >= {threshold} * na")
+    met = left.join(right, "value").filter(f"a < b and na >= {threshold}D * nb and nb >= {threshold}D * na")
     return met.groupBy("a", "b").agg(F.count("*").alias("c")).filter(f"c >= {shared}").select("a", "b")
 
 
@@ -150,23 +150,25 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
     # the least share that any pair of a stray and this member must have: of a stray, with the best; of another, with the least stray
     least = F.when(F.col("stray"), F.col("x") + F.col("best.x")).otherwise(F.col("x") - F.col("best.x")) / 2
     need = F.greatest(F.lit(1), F.ceil(least - 1e-6)).cast("int")
-    short = placed.join(strays, "value", "left_semi").select("value", "rep", "n", "stray", "more", "less", (F.col("d") - need + 1).alias("prefix"))
+    short = placed.join(strays, "value", "left_semi").select("value", "rep", "n", "stray", "more", "less", "d", "x", (F.col("d") - need + 1).alias("prefix"))
     elements = short.filter("prefix > 0").select("value", "rep", F.explode(F.concat(F.transform("more", lambda s: F.struct(s.alias("s"), F.lit(True).alias("has"))), F.transform("less", lambda s: F.struct(s.alias("s"), F.lit(False).alias("has"))))).alias("e")).select("value", "rep", "e.s", "e.has")
     rare = F.when(F.col("has"), F.col("df")).otherwise(F.col("m") - F.col("df"))
     ranked = (
         elements.join(counts, ["value", "s"])
         .groupBy("value", "rep")
         .agg(F.sort_array(F.collect_list(F.struct(rare.alias("f"), "s", "has"))).alias("all"))
-        .join(short.select("value", "rep", "n", "stray", "prefix"), ["value", "rep"])
-        .select("value", "rep", "n", "stray", F.explode(F.slice("all", 1, F.col("prefix"))).alias("e"))
+        .join(short.select("value", "rep", "n", "stray", "d", "x", "prefix"), ["value", "rep"])
+        .select("value", "rep", "n", "stray", "d", "x", F.posexplode(F.slice("all", 1, F.col("prefix"))).alias("i", "e"))
         .filter("e.f > 1")
-        .select("value", "rep", "n", "stray", "e.s", "e.has")
+        .select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("i")).alias("left"), "e.s", "e.has")
     )
     ranked = cut(ranked)
     key = ["value", "s", "has"]
-    one = ranked.filter("stray").select(*key, F.col("rep").alias("p"), F.col("n").alias("np"))
-    other = ranked.select(*key, F.col("rep").alias("q"), F.col("n").alias("nq"))
-    met = one.join(other, key).filter(f"p <> q and np >= {threshold} * nq and nq >= {threshold} * np")
+    one = ranked.filter("stray").select(*key, F.col("rep").alias("p"), F.col("n").alias("np"), F.col("x").alias("xp"), F.col("left").alias("lp"))
+    other = ranked.select(*key, F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("x").alias("xq"), F.col("left").alias("lq"))
+    # at the first element that two share, what is left of either (itself included) must hold all that they have to share
+    room = "least(lp, lq) >= (xp + xq) / 2 - 1e-6"
+    met = one.join(other, key).filter(f"p <> q and np >= {threshold}D * nq and nq >= {threshold}D * np and {room}")
     return links, met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
