@@ -170,13 +170,13 @@ select frame, codon, count(*) as n from c group by 1, 2"""
 
 
 def f33_reader_major(spark, sf_dir):
-    """Reader versions made from sources; the compatible ones with eoreader4."""
-    v = F.concat(F.when(F.col("doc_id") % 4 == 0, F.lit("EOReader")).otherwise(F.lit("eoreader")), (F.col("doc_id") % 6).cast("string"), F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(F.lit(".2@1")))
+    """Reader versions made from sources; the compatible ones with reader4."""
+    v = F.concat(F.when(F.col("doc_id") % 4 == 0, F.lit("Reader")).otherwise(F.lit("reader")), (F.col("doc_id") % 6).cast("string"), F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(F.lit(".2@1")))
     major = rules.reader_major(v)
-    return _docs(spark, sf_dir).select("doc_id", major.alias("major"), F.coalesce(major == "eoreader4", F.lit(False)).alias("compatible"))
+    return _docs(spark, sf_dir).select("doc_id", major.alias("major"), F.coalesce(major == "reader4", F.lit(False)).alias("compatible"))
 
 
-F33 = "select doc_id, case when doc_id % 5 = 0 then null else 'eoreader' || (doc_id % 6) end as major, doc_id % 5 <> 0 and doc_id % 6 = 4 as compatible from documents"
+F33 = "select doc_id, case when doc_id % 5 = 0 then null else 'reader' || (doc_id % 6) end as major, doc_id % 5 <> 0 and doc_id % 6 = 4 as compatible from documents"
 
 
 def f47_small_rules(spark, sf_dir):
