@@ -128,14 +128,16 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
     With D(X) the symmetric difference of X and L, two members are similar exactly if |D(X) ^ D(Y)| <= h * (|X| + |Y|),
     h = (1 - t) / (1 + t). Let x(X) = |D(X)| - h * |X|. If x(X) + x(Y) <= 0 the two are certainly similar, so all
     X with x(X) <= -min x are linked to the member with the least x: one star. Any other member X, if it is similar to some Y,
-    shares at least (x(X) + x(Y)) / 2 > 0 elements of D(Y) with it; so the two meet in the rarest elements of both, at
-    least |D| minus that bound plus 1 of them. Those few inverted lists give the candidates, and none is lost.
+    shares at least (x(X) + x(Y)) / 2 > 0 elements of D(Y) with it; so in any order of the elements the two meet within the
+    first |D| minus that bound plus 1 of both, with enough elements left after the first meeting. Rare elements come first, so
+    these inverted lists are short; they give the candidates, and none is lost.
     """
     h = (1 - threshold) / (1 + threshold)
     rows = members.join(sets, "rep").select("value", "rep", F.size("shingles").alias("n"), "shingles")
     size = members.groupBy("value").agg(F.count("*").alias("m"))
     counts = cut(rows.select("value", F.explode("shingles").alias("s")).groupBy("value", "s").agg(F.count("*").alias("df")).join(size, "value"))
-    core = counts.filter("2 * df > m").groupBy("value").agg(F.collect_set("s").alias("core"))  # at most twice the mean size of a set
+    # at most twice the mean size of a set; those that the fewest members lack come first
+    core = counts.filter("2 * df > m").groupBy("value").agg(F.sort_array(F.collect_list(F.struct(F.negative("df").alias("k"), "s"))).alias("c")).select("value", F.transform("c", lambda x: x.s).alias("core"))
     offset = cut(
         rows.join(core, "value", "left")
         .withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
@@ -151,18 +153,10 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
     least = F.when(F.col("stray"), F.col("x") + F.col("best.x")).otherwise(F.col("x") - F.col("best.x")) / 2
     need = F.greatest(F.lit(1), F.ceil(least - 1e-6)).cast("int")
     short = placed.join(strays, "value", "left_semi").select("value", "rep", "n", "stray", "more", "less", "d", "x", (F.col("d") - need + 1).alias("prefix"))
-    elements = short.filter("prefix > 0").select("value", "rep", F.explode(F.concat(F.transform("more", lambda s: F.struct(s.alias("s"), F.lit(True).alias("has"))), F.transform("less", lambda s: F.struct(s.alias("s"), F.lit(False).alias("has"))))).alias("e")).select("value", "rep", "e.s", "e.has")
-    rare = F.when(F.col("has"), F.col("df")).otherwise(F.col("m") - F.col("df"))
-    ranked = (
-        elements.join(counts, ["value", "s"])
-        .groupBy("value", "rep")
-        .agg(F.sort_array(F.collect_list(F.struct(rare.alias("f"), "s", "has"))).alias("all"))
-        .join(short.select("value", "rep", "n", "stray", "d", "x", "prefix"), ["value", "rep"])
-        .select("value", "rep", "n", "stray", "d", "x", F.posexplode(F.slice("all", 1, F.col("prefix"))).alias("i", "e"))
-        .filter("e.f > 1")
-        .select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("i")).alias("left"), "e.s", "e.has")
-    )
-    ranked = cut(ranked)
+    # in one order for all members of a list: what they have beyond L, mostly rare, then what they lack
+    signed = lambda name, has: F.transform(name, lambda s: F.struct(s.alias("s"), F.lit(has).alias("has")))
+    first = short.filter("prefix > 0").select("value", "rep", "n", "stray", "d", "x", F.slice(F.concat(signed("more", True), signed("less", False)), 1, F.col("prefix")).alias("e"))
+    ranked = cut(first.select("value", "rep", "n", "stray", "x", "d", F.posexplode("e").alias("i", "e")).select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("i")).alias("left"), "e.s", "e.has"))
     key = ["value", "s", "has"]
     one = ranked.filter("stray").select(*key, F.col("rep").alias("p"), F.col("n").alias("np"), F.col("x").alias("xp"), F.col("left").alias("lp"))
     other = ranked.select(*key, F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("x").alias("xq"), F.col("left").alias("lq"))
