@@ -13,6 +13,7 @@ import base64
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import text_or_empty, vocabulary_path
+from tallyloom.llm._shared import Memo, small, text_or_empty, vocabulary_path
 
 #: White space as the pattern's \s has it: the property White_Space, without \x1c-\x1f.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Distinct pieces of text remembered in a worker; the memory is emptied when full.
-MEMO = 500_000
+MEMO = 400_000
 
 
 class ByteBPE:
@@ -46,7 +47,7 @@ class ByteBPE:
         self.fits: dict[tuple[int, int], bool] = {}
         self.shorter = [self._longest_below(w) for w in self.words]
         self._learn_halves()
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.parts = Memo(lambda part: array("I", self._part(part)).tobytes())
         #: A space between white space, or one that ends the text after white space: cutting there isn't safe.
         self.unsafe = re.compile(r"\s (?:\s|\Z)").search
         self.digits = [str(i).encode() for i in range(len(self.words))]
@@ -104,7 +105,7 @@ class ByteBPE:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             known = self.fits[key] = self._adjacent(left, right)
         return known
@@ -154,23 +155,20 @@ class ByteBPE:
         No match holds a space but as its first character or within white space, so a text may be cut before each
         single space; parts that came before are looked up. Texts with longer white space go match by match.
         """
-        out: list[int] = []
         if not text:
-            return out
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
+            return []
+        self.parts.trim(MEMO)
         if self.unsafe(text):
             parts = self.matches(text)
         else:
             first, *rest = text.split(" ")
             parts = ([first] if first else []) + [" " + r for r in rest]
-        for part in parts:
-            ids = memo.get(part)
-            if ids is None:
-                ids = memo[part] = self._part(part)
-            out += ids
-        return out
+        return array("I", b"".join(map(self.parts.__getitem__, parts))).tolist()
+
+    def forget(self) -> None:
+        """Frees what is remembered, so that tasks of other operators in the same worker have the memory."""
+        self.parts.clear()
+        self.fits.clear()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
@@ -201,7 +199,7 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 tokens = bpe.encode(text)
@@ -209,6 +207,7 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             types = [pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string()]
             cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
             yield pa.record_batch([batch.column(0), *cols], ["__id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"__id {kind}, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"

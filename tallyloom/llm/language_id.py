@@ -12,6 +12,7 @@ language; labelling runs in the tasks over whole texts. The model's size is fixe
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,14 +23,14 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import text_or_empty
+from tallyloom.llm._shared import small, text_or_empty
 
 #: Bounds of the training sample: windows of a language, characters of a window, languages.
 TRAIN_PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 400, 1200, 64
 #: Hashed features; words of a lexicon; words of a training sequence; steps of the fit.
 BUCKETS, LEXICON, SEQUENCE, STEPS = 1 << 15, 1500, 40, 40
 #: Words and runs remembered in a worker, and words times texts that are labelled at once.
-MEMO, BLOCK = 400_000, 300_000
+MEMO, BLOCK = 250_000, 200_000
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -172,27 +173,24 @@ class Labeller:
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.runs: dict[str, bytes] = {}
         self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's words; new words are scored together."""
-        if len(self.words) > MEMO or len(self.runs) > 2 * MEMO:
+        if len(self.words) > MEMO or len(self.runs) > MEMO:
             self.clear()
         known, runs, fresh, out = self.words, self.runs, [], []
         for text in texts:
-            row: list[int] = []
-            for run in text.split():
-                got = runs.get(run)
-                if got is None:
-                    found = words_of(run)
-                    for w in found:
-                        if w not in known:
-                            known[w] = len(known)
-                            fresh.append(w)
-                    got = runs[run] = tuple(known[w] for w in found)
-                row += got
-            out.append(row)
+            row = text.split()
+            for run in set(row).difference(runs):
+                found = words_of(run)
+                for w in found:
+                    if w not in known:
+                        known[w] = len(known)
+                        fresh.append(w)
+                runs[run] = array("I", [known[w] for w in found]).tobytes()
+            out.append(np.frombuffer(b"".join(map(runs.__getitem__, row)), np.uint32))
         if fresh:
             if len(known) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros((max(len(known), len(self.scores)), self.scores.shape[1]), np.float32)])
@@ -202,9 +200,9 @@ class Labeller:
                 self.scores[at : at + len(part)] = self.model.emissions(part)
         return out
 
-    def marginals(self, ids: list[list[int]]) -> Iterator[tuple[int, np.ndarray]]:
+    def marginals(self, ids: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         """(index of the text, its words' distributions), in blocks of texts of like length."""
-        order = sorted((i for i, x in enumerate(ids) if x), key=lambda i: len(ids[i]))
+        order = sorted((i for i, x in enumerate(ids) if len(x)), key=lambda i: len(ids[i]))
         at = 0
         while at < len(order):
             end = at + 1
@@ -261,7 +259,7 @@ def identify(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str
         if not own:
             own.append(Labeller(shared.value))
         labeller, names = own[0], shared.value.languages
-        for batch in batches:
+        for batch in small(batches, 4000):
             texts = batch.column(1).to_pylist()
             langs, scores, parts = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             for i, found in labeller.marginals(labeller.ids(texts)) if names else ():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import text_or_empty
+from tallyloom.llm._shared import small, text_or_empty
 
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _WIDTH, _LENGTH, _BITS, _COMPRESSION, _PHOTOMETRIC, _STRIPS, _SAMPLES, _ROWS, _STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -254,7 +254,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raw = [t.encode() for t in batch.column(1).to_pylist()]
             media = [encode_page(_pad(b), ROW_BYTES, compression, predictor) for b in raw]
             yield pa.record_batch([batch.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], ["__id", "n_bytes", "media"])
@@ -277,7 +277,7 @@ def tiff_pages(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows, source = [], []
             for i, data in enumerate(batch.column(len(keep)).to_pylist()):
                 if data is None:

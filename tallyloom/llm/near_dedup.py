@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import text_or_empty
+from tallyloom.llm._shared import small, text_or_empty
 from tallyloom.operators.graph import components
 from tallyloom.sources.scratch import cut
 
@@ -38,7 +38,7 @@ HOT_KEYS = 8
 ESTIMATE_MARGIN = 0.29
 #: Ids that may be broadcast to fetch the full sets of candidates.
 BROADCAST_IDS = 2_000_000
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 300_000
 
 
 class Shingler:
@@ -87,7 +87,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingler.hashes(t) for t in batch.column(1).to_pylist()]
             names = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
             yield pa.record_batch(
@@ -106,7 +106,7 @@ def _full_sets(df: DataFrame, id_col: str, text_col: str, ids: DataFrame, words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in small(batches):
             yield pa.record_batch([batch.column(0), _lists([shingler.hashes(t) for t in batch.column(1).to_pylist()])], ["rep", "shingles"])
 
     kind = df.schema[id_col].dataType.simpleString()

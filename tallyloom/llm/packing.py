@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import text_or_empty, vocabulary_path
+from tallyloom.llm._shared import Memo, small, text_or_empty, vocabulary_path
 from tallyloom.llm.token_counts import MEMO, TokenCounter
 
 #: Tokens of a window; the longest part of a document that is packed with others; windows that a block aims to fill;
@@ -32,42 +33,30 @@ WINDOW, PIECE_TOKENS, BLOCK_WINDOWS, SLACK = 2048, 512, 96, 48
 
 
 class WordIds(TokenCounter):
-    """Ids by the library's model, remembered by runs of characters without white space."""
+    """Ids by the library's model, remembered by runs of characters without white space, two bytes an id."""
 
     def __init__(self, path: str):
         super().__init__(path)
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.ids_of_run: dict[str, tuple[int, ...]] = {}
-        self.ids_of_word: dict[str, tuple[int, ...]] = {}
-
-    def run_ids(self, run: str) -> tuple[int, ...]:
-        out: list[int] = []
-        known = self.ids_of_word
-        if len(known) > MEMO:
-            known.clear()
-        for word in self.words(self.normalise(run)):
-            ids = known.get(word)
-            if ids is None:
-                symbols = word.encode().decode("latin-1").translate(self.bytes)
-                ids = known[word] = tuple(t.id for t in self.model.tokenize(symbols))
-            out += ids
-        return tuple(out)
-
-    def ids(self, text: str) -> list[int]:
+        if self.library.get_vocab_size() > 65_536:
+            raise ValueError("ids of this tokenizer don't fit in two bytes")
+        tokenize = self.library.model.tokenize
+        self.ids_of_word = Memo(lambda word: array("H", [t.id for t in tokenize(self.symbols(word))]).tobytes())
+        self.ids_of_run = Memo(lambda run: b"".join(map(self.ids_of_word.__getitem__, self.words(self.normalise(run)))))
+
+    def forget(self) -> None:
+        super().forget()
+        self.ids_of_word.clear()
+        self.ids_of_run.clear()
+
+    def ids(self, text: str) -> np.ndarray:
         if any(m in text for m in self.marks):
-            return self.library.encode(text, add_special_tokens=False).ids
-        memo, out = self.ids_of_run, []
-        if len(memo) > MEMO:
-            memo.clear()
-        for run in self.split(text):
-            ids = memo.get(run)
-            if ids is None:
-                ids = memo[run] = self.run_ids(run)
-            out += ids
-        return out
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        self.ids_of_run.trim(MEMO)
+        self.ids_of_word.trim(MEMO)
+        return np.frombuffer(b"".join(map(self.ids_of_run.__getitem__, self.split(text))), np.uint16).astype("<u4")
 
 
 @functools.lru_cache(maxsize=2)
@@ -201,15 +190,14 @@ def pack_documents(
             types = [kind, *[pa.int64()] * 6, pa.list_(pa.int32())]
             return pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names)
 
-        for batch in batches:
+        for batch in small(batches):
             kind = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.ids(text)
-                ids.append(end_id)
-                packer.add(doc, np.array(ids, "<u4"))
+                packer.add(doc, np.append(words.ids(text), np.uint32(end_id)).astype("<u4", copy=False))
                 if len(packer.rows) > 20_000:
                     yield out()
         packer.flush()
+        words.forget()
         if packer.rows:
             yield out()
 

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import text_or_empty, vocabulary_path
+from tallyloom.llm._shared import Memo, small, text_or_empty, vocabulary_path
 from tallyloom.llm.byte_bpe import SPACE
 
 #: Characters of a chunk.
 CHUNK = 65_536
 #: Words remembered in a worker, and states of the word machine; both start anew when full.
-MEMO, STATES = 500_000, 400_000
+MEMO, STATES = 400_000, 200_000
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -76,7 +76,7 @@ class WordMachine:
         key = (left, right)
         known = self.memo.get(key)
         if known is None:
-            if len(self.memo) > 4_000_000:
+            if len(self.memo) > 500_000:
                 self.memo.clear()
             known = self.memo[key] = self._adjacent(left, right)
         return known
@@ -174,46 +174,49 @@ class TokenCounter:
         if model.get("end_of_word_suffix") != "</w>" or split["pattern"].get("Regex") != WORD_PATTERN or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("this tokenizer isn't of the kind that is compiled here")
         self.machine = WordMachine(model["vocab"], merges)
-        self.words = regex.compile(WORD_PATTERN).findall
+        self.pattern = regex.compile(WORD_PATTERN).findall
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"])))).finditer
         self.marks = tuple(t["content"] for t in spec["added_tokens"])
         self.odd_space = regex.compile("[\x1c-\x1f]").search
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.bytes = str.maketrans({i: c for i, c in enumerate(printable_bytes())})
-        self.memo: dict[str, int] = {}
-        self.known: dict[str, int] = {}
+        self.counts = Memo(self.run)
+        self.known = Memo(lambda word: self.machine.tokens(self.symbols(word)))
+
+    def symbols(self, word: str) -> str:
+        """A word's bytes, each as the character that stands for it."""
+        return word.encode().decode("latin-1").translate(self.bytes)
+
+    def forget(self) -> None:
+        """Frees what is remembered, so that tasks of other operators in the same worker have the memory."""
+        self.counts.clear()
+        self.known.clear()
+        self.machine.reset()
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
+    def words(self, run: str) -> list[str]:
+        """The words of a normalised run; letters alone, or with one sign behind them, need no pattern."""
+        if run.isalpha():
+            return [run]
+        if run[-1] in ".,;:!?" and run[:-1].isalpha():
+            return [run[:-1], run[-1]]
+        return self.pattern(run)
+
     def run(self, run: str) -> int:
         """The tokens of a run of characters without white space."""
-        total = 0
-        known = self.known
-        if len(known) > MEMO:
-            known.clear()
-        for word in self.words(self.normalise(run)):
-            n = known.get(word)
-            if n is None:
-                n = known[word] = self.machine.tokens(word.encode().decode("latin-1").translate(self.bytes))
-            total += n
-        return total
+        self.known.trim(MEMO)
+        return sum(map(self.known.__getitem__, self.words(self.normalise(run))))
 
     def split(self, text: str) -> list[str]:
         return [r for r in self.spaces(text) if r] if self.odd_space(text) else text.split()
 
     def total(self, runs: list[str]) -> int:
-        memo, total = self.memo, 0
-        if len(memo) > MEMO:
-            memo.clear()
-        for run in runs:
-            n = memo.get(run)
-            if n is None:
-                n = memo[run] = self.run(run)
-            total += n
-        return total
+        self.counts.trim(MEMO)
+        return sum(map(self.counts.__getitem__, runs))
 
     def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
         """(head, count, tail): head finishes the word that enters, tail is left open; tail None: no white space, all is head."""
@@ -279,9 +282,10 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             counts = [counter.count(t) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["__id", "n_bytes", "n_tokens"])
+        counter.forget()
 
     kind = df.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
