@@ -155,7 +155,8 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
     short = placed.join(strays, "value", "left_semi").select("value", "rep", "n", "stray", "more", "less", "d", "x", (F.col("d") - need + 1).alias("prefix"))
     # in one order for all members of a list: what they have beyond L, mostly rare, then what they lack
     signed = lambda name, has: F.transform(name, lambda s: F.struct(s.alias("s"), F.lit(has).alias("has")))
-    first = short.filter("prefix > 0").select("value", "rep", "n", "stray", "d", "x", F.slice(F.concat(signed("more", True), signed("less", False)), 1, F.col("prefix")).alias("e"))
+    spread = short.filter("prefix > 0").repartition("value", "rep")  # a list's members came from few tasks
+    first = spread.select("value", "rep", "n", "stray", "d", "x", F.slice(F.concat(signed("more", True), signed("less", False)), 1, F.col("prefix")).alias("e"))
     ranked = cut(first.select("value", "rep", "n", "stray", "x", "d", F.posexplode("e").alias("i", "e")).select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("i")).alias("left"), "e.s", "e.has"))
     key = ["value", "s", "has"]
     one = ranked.filter("stray").select(*key, F.col("rep").alias("p"), F.col("n").alias("np"), F.col("x").alias("xp"), F.col("left").alias("lp"))
