@@ -113,15 +113,15 @@ def _full_sets(df: DataFrame, id_col: str, text_col: str, ids: DataFrame, words:
     return wanted.mapInArrow(run, f"rep {kind}, shingles array<long>").dropDuplicates(["rep"])
 
 
-def _pairs_in_lists(posts: DataFrame, threshold: float, shared: int) -> DataFrame:
+def _pairs_in_lists(posts: DataFrame, percent: int, shared: int) -> DataFrame:
     """(a, b) with a < b and sizes that allow the similarity, in at least so many lists together. Lists are short."""
     left = posts.select("value", F.col("rep").alias("a"), F.col("n").alias("na"))
     right = posts.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, "value").filter(f"a < b and na >= {threshold}D * nb and nb >= {threshold}D * na")
+    met = left.join(right, "value").filter(f"a < b and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
     return met.groupBy("a", "b").agg(F.count("*").alias("c")).filter(f"c >= {shared}").select("a", "b")
 
 
-def _hot_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links and further candidates within the lists of hot values, without their pairs.
 
     members: (value, rep) of long lists; sets: (rep, shingles). Per list, L holds the hashes that most members have.
@@ -130,9 +130,10 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
     X with x(X) <= -min x are linked to the member with the least x: one star. Any other member X, if it is similar to some Y,
     shares at least (x(X) + x(Y)) / 2 > 0 elements of D(Y) with it; so in any order of the elements the two meet within the
     first |D| minus that bound plus 1 of both, with enough elements left after the first meeting. Rare elements come first, so
-    these inverted lists are short; they give the candidates, and none is lost.
+    these inverted lists are short; they give the candidates, and none is lost. x is held times 100 + percent, in whole
+    numbers, so that members exactly at the limit are on the right side of it.
     """
-    h = (1 - threshold) / (1 + threshold)
+    more, less = 100 + percent, 100 - percent  # h = less / more
     rows = members.join(sets, "rep").select("value", "rep", F.size("shingles").alias("n"), "shingles")
     size = members.groupBy("value").agg(F.count("*").alias("m"))
     counts = cut(rows.select("value", F.explode("shingles").alias("s")).groupBy("value", "s").agg(F.count("*").alias("df")).join(size, "value"))
@@ -143,15 +144,15 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
         .withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
         .select("value", "rep", "n", F.array_except("shingles", "core").alias("more"), F.array_except("core", "shingles").alias("less"))
         .withColumn("d", F.size("more") + F.size("less"))
-        .withColumn("x", F.col("d") - h * F.col("n"))
+        .withColumn("x", more * F.col("d").cast("long") - less * F.col("n"))
     )
     near = offset.groupBy("value").agg(F.min(F.struct("x", "rep")).alias("best"))
-    placed = offset.join(near, "value").withColumn("stray", F.col("x") > -F.col("best.x") - 1e-9)
+    placed = offset.join(near, "value").withColumn("stray", F.col("x") + F.col("best.x") > 0)
     links = placed.filter("not stray").select(F.col("best.rep").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     strays = placed.filter("stray").select("value").distinct()
     # the least share that any pair of a stray and this member must have: of a stray, with the best; of another, with the least stray
-    least = F.when(F.col("stray"), F.col("x") + F.col("best.x")).otherwise(F.col("x") - F.col("best.x")) / 2
-    need = F.greatest(F.lit(1), F.ceil(least - 1e-6)).cast("int")
+    least = F.when(F.col("stray"), F.col("x") + F.col("best.x")).otherwise(F.col("x") - F.col("best.x"))
+    need = F.greatest(F.lit(1), F.ceil(least / (2 * more))).cast("int")
     short = placed.join(strays, "value", "left_semi").select("value", "rep", "n", "stray", "more", "less", "d", "x", (F.col("d") - need + 1).alias("prefix"))
     # in one order for all members of a list: what they have beyond L, mostly rare, then what they lack
     signed = lambda name, has: F.transform(name, lambda s: F.struct(s.alias("s"), F.lit(has).alias("has")))
@@ -162,8 +163,8 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[D
     one = ranked.filter("stray").select(*key, F.col("rep").alias("p"), F.col("n").alias("np"), F.col("x").alias("xp"), F.col("left").alias("lp"))
     other = ranked.select(*key, F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("x").alias("xq"), F.col("left").alias("lq"))
     # at the first element that two share, what is left of either (itself included) must hold all that they have to share
-    room = "least(lp, lq) >= (xp + xq) / 2 - 1e-6"
-    met = one.join(other, key).filter(f"p <> q and np >= {threshold}D * nq and nq >= {threshold}D * np and {room}")
+    room = f"{2 * more} * least(lp, lq) >= xp + xq"
+    met = one.join(other, key).filter(f"p <> q and 100 * np >= {percent} * nq and 100 * nq >= {percent} * np and {room}")
     return links, met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
@@ -197,7 +198,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     short_lists = laden.join(long.filter(f"c <= {HOT}"), "value").select("value", "rep", "n")
     long_lists = cut(laden.join(long.filter(f"c > {HOT}"), "value").select("value", "rep"))
 
-    pairs = _pairs_in_lists(cold, t, 2).unionByName(_pairs_in_lists(short_lists, t, 1)).distinct()
+    pairs = _pairs_in_lists(cold, percent, 2).unionByName(_pairs_in_lists(short_lists, percent, 1)).distinct()
     a = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
     b = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
@@ -206,7 +207,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     ids = likely.select(F.col("a").alias("rep")).union(likely.select("b")).union(long_lists.select("rep")).distinct()
     sets = cut(_full_sets(df, id_col, text_col, cut(ids), words))
-    star, more = _hot_pairs(long_lists, sets, t)
+    star, more = _hot_pairs(long_lists, sets, percent)
     star, likely = cut(star), likely.unionByName(cut(more).withColumn("estimate", F.lit(0.0)))
 
     # first each class's likeliest pair: it joins most groups; then only what would join groups that are still apart

@@ -138,6 +138,19 @@ def test_near_groups_against_all_pairs(spark, monkeypatch):
     assert [r.kept for r in near_dedup.near_groups(table(spark, ["a b c d e f", "A B C D E F"])).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_near_groups_at_exactly_the_limit(spark):
+    """A text of 85 of the 100 shingles of a large group's base is similar to the base alone, by exactly 85 percent."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(104)]
+    texts = [" ".join(base[:89]), " ".join(base[1:89])]  # the second shares 84, below the limit with the base
+    for i in range(300):
+        at = rng.randrange(10, 70)
+        texts.append(" ".join([*base[:at], f"w{i}", *base[at + 1 :]]))
+    texts.append(" ".join(base))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(table(spark, texts)).collect()}
+    assert got == brute_near(dict(enumerate(texts))) and got[len(texts) - 1][1] == 0
+
+
 def test_packing(spark, stored):
     from tokenizers import Tokenizer
 
