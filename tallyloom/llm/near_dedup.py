@@ -9,14 +9,16 @@ Values that very many classes retain (shared passages) would make lists whose pa
 are left out of the lists, and this loses nothing for a class most of whose retained values are rarer. Classes of which a
 large part is such passages (large groups of near copies) are handled exactly in another way, see _hot_pairs.
 
-Chance: a pair with similarity 0.85 is overlooked when the lists have no two of its values in common, or when its
-estimate falls short by 0.29; both are below one in a million, and a pair counts only if nothing else connects its ends.
+Chance: a pair exactly at the limit is overlooked when the lists have no two of its values in common, or when its
+estimate falls short by 0.29; both are below one in a million at limits from 0.80 on (which values go into the lists depends on
+the limit, see list_bounds), and a pair counts only if nothing else connects its ends.
 Everything else is exact. The full sets are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,8 @@ from tallyloom.sources.scratch import cut
 
 #: Words of a shingle; retained hashes of a set; those of them whose lists generate pairs; the longest such list.
 SHINGLE_WORDS, SKETCH, KEYS, HOT = 5, 64, 24, 48
-#: Hot values of a class from which on the lists of the others don't suffice, as a share of its keys.
-HOT_SHARE = 0.375
-#: Lists of hot values that such a class takes part in.
-HOT_KEYS = 8
+#: The chance that a pair at the limit may be overlooked with.
+CHANCE = 1e-6
 #: How far below the similarity the estimate of 64 values may lie.
 ESTIMATE_MARGIN = 0.29
 #: Ids that may be broadcast to fetch the full sets of candidates.
@@ -41,6 +41,18 @@ BROADCAST_IDS = 2_000_000
 _WORDS_KEPT = 300_000
 
 
+def list_bounds(t: float, chance: float = CHANCE) -> tuple[int, int]:
+    """(hot values of a class beyond which the lists of its others don't suffice, lists of hot values that it then takes part in).
+
+    Of the KEYS smallest values of a pair's union, both sides retain each one with probability t. Two must be left beside
+    the hot ones of a class with few; of the first hot ones of two classes with many, one must be common.
+    """
+    at_most = np.cumsum([math.comb(KEYS, i) * t**i * (1 - t) ** (KEYS - i) for i in range(KEYS + 1)])
+    few = int((at_most < chance).sum()) - 2
+    many = 1 if t >= 1 else math.ceil(math.log(chance) / math.log(1 - t))
+    return max(0, few), min(many, KEYS)
+
+
 class Shingler:
     """Hashes of shingles: words are hashed once and remembered, shingles mixed from their words' hashes."""
 
@@ -185,15 +197,16 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     their texts are equal. An empty table gives an empty result. Other columns are not read.
     """
     t = percent / 100
+    few, many = list_bounds(t)
     docs = cut(sketches(df, id_col, text_col, words))
     classes = cut(docs.filter("n > 0").groupBy("k1", "k2").agg(F.min("__id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     posts = classes.select("rep", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))
     lengths = cut(posts.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1"))
     cold = posts.join(lengths.filter(f"c <= {HOT}"), "value").select("value", "rep", "n")
     hot = cut(posts.join(lengths.filter(f"c > {HOT}"), "value").select("value", "rep", "n"))
-    share = hot.groupBy("rep").agg(F.count("*").alias("h"), F.first("n").alias("n")).filter(F.col("h") > HOT_SHARE * F.least("n", F.lit(KEYS)))
+    share = hot.groupBy("rep").agg(F.count("*").alias("h"), F.first("n").alias("n")).filter(KEYS * F.col("h") > few * F.least("n", F.lit(KEYS)))
     laden = hot.join(share.select("rep"), "rep").groupBy("rep", "n").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    laden = cut(laden.select("rep", "n", F.explode(F.slice("v", 1, HOT_KEYS)).alias("value")))
+    laden = cut(laden.select("rep", "n", F.explode(F.slice("v", 1, many)).alias("value")))
     long = laden.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
     short_lists = laden.join(long.filter(f"c <= {HOT}"), "value").select("value", "rep", "n")
     long_lists = cut(laden.join(long.filter(f"c > {HOT}"), "value").select("value", "rep"))

@@ -33,6 +33,23 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == {i for i, (_, c) in want.items() if c == i} and zlib.crc32(b"") == 0
 
 
+def test_near_copies_from_80_percent(spark):
+    """Pairs of 0.79 to 0.86, by themselves and in a large group."""
+    texts = {}
+    for n, share in enumerate((79, 80, 82, 84, 85, 86)):
+        own = [f"s{n}w{i}" for i in range(104)]
+        texts[2 * n], texts[2 * n + 1] = " ".join(own), " ".join(own[: share + 4])
+    base = [f"b{i}" for i in range(104)]
+    for i in range(120):
+        at = 10 + i % 60
+        texts[100 + i] = " ".join([*base[:at], f"w{i}", *base[at + 1 :]])
+    texts[300], texts[301], texts[302] = " ".join(base), " ".join(base[:84]), " ".join(base[1:84])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    stay = sorted(i for i, (_, c) in brute_near(texts, 80).items() if c == i)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == stay
+    assert stay != sorted(i for i, (_, c) in brute_near(texts).items() if c == i)
+
+
 def test_run_is_the_stages_in_order(spark):
     out = corpus_pipeline.run(spark, SF)
     assert "sequence_id" in out.columns and out.count() > 0
