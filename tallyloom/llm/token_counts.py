@@ -8,8 +8,9 @@ compiled when first taken and kept.
 
 Text is counted in chunks. What a chunk does to any state that enters it is a small map: the characters
 before its first white space, which finish whatever word the state had begun, a count, and the word it leaves
-open. Such maps compose associatively, so the chunks of a long text meet in a parallel prefix scan of
-log2(chunks) rounds, and a text of any length needs no more memory than its chunks.
+open. Such maps compose associatively, so the chunks of a long text meet in the up-sweep of a prefix scan, log2(chunks)
+rounds of independent compositions, and a text of any length needs no more memory than its chunks and its longest run
+without white space. A word of any length is read with a bounded number of states.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from tallyloom.llm.byte_bpe import SPACE
 CHUNK = 65_536
 #: Words remembered in a worker, and states of the word machine; both start anew when full.
 MEMO, STATES = 400_000, 200_000
+#: Characters beyond which a run or a word isn't remembered.
+REMEMBERED = 256
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -43,12 +46,20 @@ def printable_bytes() -> list[str]:
     return out
 
 
+class ShortMemo(Memo):
+    """A memo that keeps no long keys, of which few would fill the memory."""
+
+    def __missing__(self, key):
+        return super().__missing__(key) if len(key) <= REMEMBERED else self.make(key)
+
+
 class WordMachine:
     """Counts the tokens of one word, symbol by symbol.
 
     A state is a prefix of words: the last token of the merges of each of its prefixes. Of a string's merges, the
     tokens before the last are the merges of what comes before it, so the next state needs only the longest token
-    that ends here and may follow the state that lies before it.
+    that ends here and may follow the state that lies before it. That one lies at most the longest token's length back, so
+    a state holds the one it came from, and in a long word all but the last few can be let go.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
@@ -65,11 +76,36 @@ class WordMachine:
         self.reset()
 
     def reset(self) -> None:
-        #: For each state: its prefix, its last token, the state before that token, its number of tokens, and moves.
-        self.prefix, self.last, self.count = [""], [-1], [0]
+        #: For each state: its last symbol, the state it came from, its last token, its number of tokens, and moves.
+        self.symbol, self.parent, self.last, self.count = [""], [0], [-1], [0]
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
         self.ends: list[dict[str, int]] = [{}]
-        self.trail: list[tuple[int, ...]] = [(0,)]
+
+    def _add(self, symbol: str, parent: int, last: int, count: int) -> int:
+        self.symbol.append(symbol)
+        self.parent.append(parent)
+        self.last.append(last)
+        self.count.append(count)
+        self.moves.append({})
+        self.ends.append({})
+        return len(self.last) - 1
+
+    def _path(self, state: int) -> list[int]:
+        """The state and those it came from, as far back as a token reaches."""
+        path = [state]
+        while state and len(path) < self.longest:
+            state = self.parent[state]
+            path.append(state)
+        return path
+
+    def shorten(self, state: int) -> int:
+        """Frees all states but those that the rest of a word needs; the state's new number."""
+        kept = [(self.symbol[s], self.last[s], self.count[s]) for s in reversed(self._path(state)) if s]
+        self.reset()
+        at = -1 if len(kept) == self.longest else 0  # what came before the oldest isn't looked at again
+        for symbol, last, count in kept:
+            at = self._add(symbol, at, last, count)
+        return at
 
     def adjacent(self, left: int, right: int) -> bool:
         """True if the merges leave the tokens side by side."""
@@ -116,13 +152,13 @@ class WordMachine:
 
     def _step(self, state: int, symbol: str, tokens: dict[str, int]) -> tuple[int, int]:
         """The last token and the state before it when the symbol is read (as the word's last if tokens is final)."""
-        text = self.prefix[state] + symbol
-        trail = self.trail[state]
-        for size in range(min(self.longest, len(text)), 0, -1):
+        path = self._path(state)
+        text = "".join([self.symbol[s] for s in reversed(path[:-1])]) + symbol
+        for size in range(len(path), 0, -1):
             token = tokens.get(text[-size:])
             if token is None:
                 continue
-            before = trail[len(text) - size]
+            before = path[size - 1]
             if before == 0 or self.adjacent(self.last[before], token):
                 return token, before
         raise ValueError(f"the vocabulary lacks {symbol!r}")
@@ -132,13 +168,7 @@ class WordMachine:
         found = self.moves[state].get(symbol)
         if found is None:
             token, before = self._step(state, symbol, self.inner)
-            new = len(self.prefix)
-            self.prefix.append(self.prefix[state] + symbol)
-            self.last.append(token)
-            self.count.append(self.count[before] + 1)
-            self.moves.append({})
-            self.ends.append({})
-            self.trail.append((*self.trail[state], new))
+            new = self._add(symbol, state, token, self.count[before] + 1)
             found = self.moves[state][symbol] = (new, self.count[new] - self.count[state])
         return found
 
@@ -155,9 +185,9 @@ class WordMachine:
         for symbol in word[:-1]:
             state, emitted = self.move(state, symbol)
             total += emitted
+            if len(self.last) > STATES:
+                state = self.shorten(state)
         total += self.end(state, word[-1])
-        if len(self.prefix) > STATES:
-            self.reset()
         return total
 
 
@@ -180,8 +210,8 @@ class TokenCounter:
         self.odd_space = regex.compile("[\x1c-\x1f]").search
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.bytes = str.maketrans({i: c for i, c in enumerate(printable_bytes())})
-        self.counts = Memo(self.run)
-        self.known = Memo(lambda word: self.machine.tokens(self.symbols(word)))
+        self.counts = ShortMemo(self.run)
+        self.known = ShortMemo(lambda word: self.machine.tokens(self.symbols(word)))
 
     def symbols(self, word: str) -> str:
         """A word's bytes, each as the character that stands for it."""
@@ -240,13 +270,11 @@ class TokenCounter:
         seam = a[2] + b[0]
         return a[0], a[1] + b[1] + (self.total([seam]) if seam else 0), b[2]
 
-    def scan(self, maps: list[tuple[str, int, str | None]]) -> list[tuple[str, int, str | None]]:
-        """The maps of all prefixes, in log2(n) rounds of independent compositions."""
-        step = 1
-        while step < len(maps):
-            maps = [m if i < step else self.compose(maps[i - step], m) for i, m in enumerate(maps)]
-            step *= 2
-        return maps
+    def sweep(self, maps: list[tuple[str, int, str | None]]) -> tuple[str, int, str | None]:
+        """The map of all together, in log2(n) rounds of independent compositions, which read each seam once."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
 
     def close(self, whole: tuple[str, int, str | None]) -> int:
         return whole[1] + self.total([x for x in (whole[0], whole[2]) if x])
@@ -254,7 +282,7 @@ class TokenCounter:
     def plain(self, text: str) -> int:
         if len(text) <= CHUNK:
             return self.total(self.split(text))
-        return self.close(self.scan([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1])
+        return self.close(self.sweep([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]))
 
     def count(self, text: str) -> int:
         """The tokens of a whole text; special strings in it count as the one token that the library makes of each."""

@@ -252,6 +252,31 @@ def test_token_counts_equal_the_library(spark, stored, monkeypatch):
         assert (got[i].n_bytes, got[i].n_tokens) == (len((t or "").encode()), want[i]) and got[i].over_limit == (want[i] > 2048)
 
 
+def test_token_counts_of_long_words(monkeypatch):
+    """Words of 200,000 letters and signs: equal to the library, in bounded memory, also when states are let go within a word."""
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    from tallyloom.llm._shared import vocabulary_path
+
+    library = Tokenizer.from_file(vocabulary_path(queries.WORD_BPE))
+    rng = random.Random(9)
+    dna, letters = ("".join(rng.choice(a) for _ in range(200_000)) for a in ("acgt", "etaoinshrdlu"))
+    texts = ["-" * 200_000, "=-" * 100_000, dna, letters, "漢字" * 20_000, "a " + letters[:150_000] + " b " + dna[:70_000] + "."]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    counter = token_counts.TokenCounter(vocabulary_path(queries.WORD_BPE))
+    for states in (token_counts.STATES, 1000):
+        monkeypatch.setattr(token_counts, "STATES", states)
+        counter.forget()
+        assert [counter.count(t) for t in texts] == want
+    tracemalloc.start()
+    counter.count(letters[:20_000])  # with a trail in each state it took 1.8 GB
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+
+
 @pytest.mark.parametrize("compression", [media_tiff.NONE, media_tiff.LZW, media_tiff.DEFLATE, media_tiff.PACKBITS])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("order", ["<", ">"])
