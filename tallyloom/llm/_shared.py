@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,11 +31,24 @@ def squeeze_space(text: Column) -> Column:
     return text
 
 
-def small(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows, without a copy, so that few texts are Python strings at once."""
+def small(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows and, but for single longer texts, bytes, without a copy, so that few texts are Python strings at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.nbytes > size and part.num_rows > 1:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: the worker lives on, and other operators' tasks share the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone keeps what is freed
+    if trim:
+        trim(0)
 
 
 class Memo(dict):

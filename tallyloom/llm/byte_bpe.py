@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import Memo, small, text_or_empty, vocabulary_path
+from tallyloom.llm._shared import Memo, give_back, small, text_or_empty, vocabulary_path
 
 #: White space as the pattern's \s has it: the property White_Space, without \x1c-\x1f.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -208,6 +208,7 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
             yield pa.record_batch([batch.column(0), *cols], ["__id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.forget()
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"__id {kind}, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"

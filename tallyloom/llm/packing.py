@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import Memo, small, text_or_empty, vocabulary_path
+from tallyloom.llm._shared import Memo, give_back, small, text_or_empty, vocabulary_path
 from tallyloom.llm.token_counts import MEMO, TokenCounter
 
 #: Tokens of a window; the longest part of a document that is packed with others; windows that a block aims to fill;
@@ -198,6 +198,7 @@ def pack_documents(
                     yield out()
         packer.flush()
         words.forget()
+        give_back()
         if packer.rows:
             yield out()
 

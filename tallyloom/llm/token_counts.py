@@ -6,11 +6,16 @@ its states are the classes of prefixes with their exact merges, each transition
 it emits (it may take some back), and each state a number emitted when the word ends there. Transitions are
 compiled when first taken and kept.
 
-Text is counted in chunks. What a chunk does to any state that enters it is a small map: the characters
-before its first white space, which finish whatever word the state had begun, a count, and the word it leaves
-open. Such maps compose associatively, so the chunks of a long text meet in the up-sweep of a prefix scan, log2(chunks)
-rounds of independent compositions, and a text of any length needs no more memory than its chunks and its longest run
-without white space. A word of any length is read with a bounded number of states.
+Text is counted in chunks, which meet in the up-sweep of a prefix scan, log2(chunks) rounds of independent compositions.
+On both levels a chunk is a map from the state that enters it to the state that leaves it and the tokens that it emits:
+
+- Of a text, the state is the run that is open. A chunk's map is the characters before its first white space, which
+  finish whatever run has begun, a count, and the run that it leaves open.
+- Of a word, the state is the word machine's, as the last tokens of the latest prefixes. A chunk's map is made for the entering
+  state that a few symbols before the chunk lead to from a word's start, which is nearly always the one that really enters.
+  Where it isn't, composing reads the chunk again from the state that does. So long words are cut anywhere, and the result is exact.
+
+A text of any length needs no more memory than itself, its maps and a bounded number of states.
 """
 
 from __future__ import annotations
@@ -18,21 +23,23 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple, TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import Memo, small, text_or_empty, vocabulary_path
+from tallyloom.llm._shared import Memo, give_back, small, text_or_empty, vocabulary_path
 from tallyloom.llm.byte_bpe import SPACE
 
-#: Characters of a chunk.
-CHUNK = 65_536
+#: Characters of a chunk of a text, and of a word.
+CHUNK, WORD_CHUNK = 8_192, 1_024
 #: Words remembered in a worker, and states of the word machine; both start anew when full.
-MEMO, STATES = 400_000, 200_000
+MEMO, STATES = 400_000, 100_000
 #: Characters beyond which a run or a word isn't remembered.
 REMEMBERED = 256
+T = TypeVar("T")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -53,6 +60,22 @@ class ShortMemo(Memo):
         return super().__missing__(key) if len(key) <= REMEMBERED else self.make(key)
 
 
+#: What a state of the word machine knows, without its number: the symbol, last token and token count of each prefix that later
+#: tokens may look back to, oldest first, and whether the word starts there.
+Known = tuple[tuple[tuple[str, int, int], ...], bool]
+START: Known = ((), True)
+
+
+class ChunkMap(NamedTuple):
+    """What the symbols from start to end of a word make of the state that enters."""
+
+    start: int
+    end: int
+    enters: Known
+    leaves: Known
+    emitted: int
+
+
 class WordMachine:
     """Counts the tokens of one word, symbol by symbol.
 
@@ -80,6 +103,7 @@ class WordMachine:
         self.symbol, self.parent, self.last, self.count = [""], [0], [-1], [0]
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
         self.ends: list[dict[str, int]] = [{}]
+        self.entered: dict[Known, int] = {START: 0}
 
     def _add(self, symbol: str, parent: int, last: int, count: int) -> int:
         self.symbol.append(symbol)
@@ -98,14 +122,23 @@ class WordMachine:
             path.append(state)
         return path
 
-    def shorten(self, state: int) -> int:
-        """Frees all states but those that the rest of a word needs; the state's new number."""
-        kept = [(self.symbol[s], self.last[s], self.count[s]) for s in reversed(self._path(state)) if s]
-        self.reset()
-        at = -1 if len(kept) == self.longest else 0  # what came before the oldest isn't looked at again
-        for symbol, last, count in kept:
-            at = self._add(symbol, at, last, count)
-        return at
+    def known(self, state: int) -> Known:
+        """What the rest of a word needs of the state."""
+        path = self._path(state)
+        whole = path[-1] == 0
+        path = path[::-1][1:] if whole else path[::-1]
+        less = self.count[path[0]] if path and not whole else 0
+        return tuple((self.symbol[s], self.last[s], self.count[s] - less) for s in path), whole
+
+    def enter(self, known: Known) -> int:
+        """A state that goes on like the one that this was known of."""
+        state = self.entered.get(known)
+        if state is None:
+            state = 0 if known[1] else -1  # what came before the oldest isn't looked at again
+            for symbol, last, count in known[0]:
+                state = self._add(symbol, state, last, count)
+            self.entered[known] = state
+        return state
 
     def adjacent(self, left: int, right: int) -> bool:
         """True if the merges leave the tokens side by side."""
@@ -180,15 +213,47 @@ class WordMachine:
             found = self.ends[state][symbol] = self.count[before] + 1 - self.count[state]
         return found
 
-    def tokens(self, word: str) -> int:
-        state = total = 0
-        for symbol in word[:-1]:
+    def run(self, state: int, symbols: str) -> tuple[int, int]:
+        """The state that the symbols, none of them the word's last, lead to, and the tokens emitted."""
+        total = 0
+        for symbol in symbols:
             state, emitted = self.move(state, symbol)
             total += emitted
             if len(self.last) > STATES:
-                state = self.shorten(state)
-        total += self.end(state, word[-1])
-        return total
+                known = self.known(state)
+                self.reset()
+                state = self.enter(known)
+        return state, total
+
+    def through(self, known: Known, symbols: str) -> tuple[Known, int]:
+        state, total = self.run(self.enter(known), symbols)
+        return self.known(state), total
+
+    def chunk_map(self, word: str, start: int, end: int) -> ChunkMap:
+        enters, _ = self.through(START, word[max(0, start - 2 * self.longest) : start])
+        leaves, emitted = self.through(enters, word[start:end])
+        return ChunkMap(start, end, enters, leaves, emitted)
+
+    def compose(self, word: str, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+        """The map of a chunk followed by another; if another state enters than the second was made for, it is read again."""
+        leaves, emitted = (b.leaves, b.emitted) if a.leaves == b.enters else self.through(a.leaves, word[b.start : b.end])
+        return ChunkMap(a.start, b.end, a.enters, leaves, a.emitted + emitted)
+
+    def tokens(self, word: str) -> int:
+        last = len(word) - 1
+        if last <= WORD_CHUNK:
+            state, total = self.run(0, word[:-1])
+            return total + self.end(state, word[-1])
+        maps = [self.chunk_map(word, i, min(last, i + WORD_CHUNK)) for i in range(0, last, WORD_CHUNK)]
+        whole = up_sweep(maps, functools.partial(self.compose, word))
+        return whole.emitted + self.end(self.enter(whole.leaves), word[-1])
+
+
+def up_sweep(maps: list[T], compose: Callable[[T, T], T]) -> T:
+    """The map of all together, in log2(n) rounds of independent compositions."""
+    while len(maps) > 1:
+        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 class TokenCounter:
@@ -270,19 +335,12 @@ class TokenCounter:
         seam = a[2] + b[0]
         return a[0], a[1] + b[1] + (self.total([seam]) if seam else 0), b[2]
 
-    def sweep(self, maps: list[tuple[str, int, str | None]]) -> tuple[str, int, str | None]:
-        """The map of all together, in log2(n) rounds of independent compositions, which read each seam once."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
     def close(self, whole: tuple[str, int, str | None]) -> int:
         return whole[1] + self.total([x for x in (whole[0], whole[2]) if x])
 
     def plain(self, text: str) -> int:
-        if len(text) <= CHUNK:
-            return self.total(self.split(text))
-        return self.close(self.sweep([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]))
+        """The tokens of a text without special strings."""
+        return self.close(up_sweep([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)], self.compose)) if text else 0
 
     def count(self, text: str) -> int:
         """The tokens of a whole text; special strings in it count as the one token that the library makes of each."""
@@ -314,6 +372,7 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             counts = [counter.count(t) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["__id", "n_bytes", "n_tokens"])
         counter.forget()
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
