@@ -5,8 +5,12 @@ Each word is scored for each language by hashed features: affixes, character n-g
 changes between neighbouring words. Forward-backward gives each word's distribution; a text's language is the one with the
 largest mean over its words, so that code-switched texts get labels word by word and one language as a whole.
 
+The labels share out each word among the languages that were learned, whatever the word. Whether a text is in any of them is another
+question, answered by its fit: the share of its letter trigrams that the language's training rows have. What a text must reach is
+learned too, half way between the fit of training windows kept back and that of the same windows with their letters shuffled.
+
 The field is fitted on the driver on a bounded sample, at most TRAIN_PER_LANGUAGE windows of TRAIN_CHARS characters of each
-language; labelling runs in the tasks over whole texts. The model's size is fixed by its parameters.
+language, every word of which is used; labelling runs in the tasks over whole texts. The model grows with the number of languages alone.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import small, text_or_empty
+from tallyloom.llm._shared import give_back, small, text_or_empty
 
-#: Bounds of the training sample: windows of a language, characters of a window, languages.
-TRAIN_PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 400, 1200, 64
+#: Bounds of the training sample: windows of a language, characters of a window, languages (more are an error).
+TRAIN_PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 300, 1000, 256
+#: Of so many windows of a language one is kept back for the least fit.
+KEPT_BACK = 10
 #: Hashed features; words of a lexicon; words of a training sequence; steps of the fit.
 BUCKETS, LEXICON, SEQUENCE, STEPS = 1 << 15, 1500, 40, 40
 #: Words and runs remembered in a worker, and words times texts that are labelled at once.
@@ -44,26 +50,45 @@ def _hash(feature: str) -> int:
 
 
 def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
-    """The hashed features of a word."""
+    """The hashed features of a word; an n-gram counts once, however long the word is."""
     marked = f"^{word}$"
     found = ["=" + word, f"#{min(len(word), 12)}"]
     found += ["p" + word[:n] for n in (1, 2, 3) if len(word) > n]
     found += ["s" + word[-n:] for n in (1, 2, 3, 4) if len(word) > n]
-    inner = marked if len(marked) <= 26 else marked[:13] + marked[-13:]
-    found += ["b" + inner[i : i + 2] for i in range(len(inner) - 1)]
-    found += ["t" + inner[i : i + 3] for i in range(len(inner) - 2)]
+    found += dict.fromkeys("b" + marked[i : i + 2] for i in range(len(marked) - 1))
+    found += dict.fromkeys("t" + gram for gram in trigrams(word))
     found += [f"l{i}" for i in lexicon.get(word, ())]
     return [_hash(f) for f in found]
 
 
+def trigrams(word: str) -> Iterator[str]:
+    marked = f"^{word}$"
+    return (marked[i : i + 3] for i in range(len(marked) - 2))
+
+
 @dataclass
 class Field:
-    """languages, feature weights (buckets x languages), transition scores, and each word's lexicons."""
+    """languages, feature weights (buckets x languages), transition scores, each word's lexicons, the languages that have a trigram (as
+    bits), and the least fit of a text in one of the languages."""
 
     languages: list[str]
     weights: np.ndarray
     transitions: np.ndarray
     lexicon: dict[str, list[int]] = field(default_factory=dict)
+    grams: dict[str, int] = field(default_factory=dict)
+    least_fit: float = 0.0
+
+    def fits(self, words: list[str]) -> np.ndarray:
+        """For each word how many of its trigrams each language has, and in the last column how many it has in all."""
+        out = np.zeros((len(words), len(self.languages) + 1), np.int32)
+        for row, word in zip(out, words, strict=True):
+            known = Counter(map(self.grams.get, trigrams(word)))
+            row[-1] = known.total()
+            for bits, n in known.items():
+                while bits:
+                    row[(bits & -bits).bit_length() - 1] += n
+                    bits &= bits - 1
+        return out
 
     def emissions(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -105,6 +130,30 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
     return marginals * live[:, :, None], expected, ((np.log(scale) + peak[:, :, 0]) * live).sum(axis=1)
 
 
+def _learn_trigrams(texts: list[tuple[int, list[str]]], k: int, seed: int = 3) -> tuple[dict[str, int], float]:
+    """The languages (as bits) that have a trigram, and the least fit, from windows that one in KEPT_BACK doesn't add to."""
+    rng, seen = np.random.default_rng(seed), [0] * k
+    grams: dict[str, int] = {}
+    back = []
+    for lang, words in texts:
+        seen[lang] += 1
+        if seen[lang] % KEPT_BACK == 0:
+            back.append((lang, words))
+        else:
+            for gram in {g for w in words for g in trigrams(w)}:
+                grams[gram] = grams.get(gram, 0) | 1 << lang
+    if not back:
+        return grams, 0.0
+    share = lambda lang, words: np.mean([grams.get(g, 0) >> lang & 1 for w in words for g in trigrams(w)])
+    plain, mixed = [share(lang, w) for lang, w in back], []
+    for _, words in back:
+        letters = rng.permutation(list("".join(words)))
+        ends = np.cumsum([0, *map(len, words)])
+        shuffled = ["".join(letters[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        mixed.append(max(share(i, shuffled) for i in range(k)))
+    return grams, float(min(np.mean(plain) + np.mean(mixed), 2 * min(plain)) / 2)
+
+
 def fit(rows: list[tuple[str, str]], steps: int = STEPS, rate: float = 0.4, decay: float = 1e-4) -> Field:
     """A field from (language, text). Sequences are taken from one text, and from two of different languages, half and half."""
     languages = sorted({lang for lang, _ in rows})
@@ -118,8 +167,9 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS, rate: float = 0.4, deca
     for i, c in enumerate(counts):
         for word, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon.setdefault(word, []).append(i)
+    grams, least_fit = _learn_trigrams(texts, k)
     if k < 2 or not texts:
-        return Field(languages, np.zeros((BUCKETS, max(1, k)), np.float32), np.zeros((max(1, k),) * 2), lexicon)
+        return Field(languages, np.zeros((BUCKETS, max(1, k)), np.float32), np.zeros((max(1, k),) * 2), lexicon, grams, least_fit)
     rng = np.random.default_rng(7)
     sequences: list[tuple[list[str], list[int]]] = []
     for lang, w in texts:
@@ -130,7 +180,6 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS, rate: float = 0.4, deca
         m, n = rng.integers(1, SEQUENCE // 2 + 1, 2)
         (aw, al), (bw, bl) = sequences[a], sequences[b]
         sequences.append((aw[:m] + bw[:n] + aw[m : 2 * m], al[:m] + bl[:n] + al[m : 2 * m]))
-    sequences = [sequences[i] for i in rng.permutation(len(sequences))[: 12 * TRAIN_PER_LANGUAGE]]
     vocabulary = {w: i for i, w in enumerate(sorted({w for s, _ in sequences for w in s}))}
     lists = [features(w, lexicon) for w in vocabulary]
     starts = np.cumsum([0, *map(len, lists)])[:-1]
@@ -161,7 +210,7 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS, rate: float = 0.4, deca
         g_moves += down_moves**2
         weights -= rate * down / np.sqrt(g_weights)
         moves -= rate * down_moves / np.sqrt(g_moves)
-    return Field(languages, weights.astype(np.float32), moves, lexicon)
+    return Field(languages, weights.astype(np.float32), moves, lexicon, grams, least_fit)
 
 
 class Labeller:
@@ -175,6 +224,7 @@ class Labeller:
         self.words: dict[str, int] = {}
         self.runs: dict[str, bytes] = {}
         self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
+        self.fits = np.zeros((1024, len(self.model.languages) + 1), np.int32)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's words; new words are scored together."""
@@ -193,11 +243,13 @@ class Labeller:
             out.append(np.frombuffer(b"".join(map(runs.__getitem__, row)), np.uint32))
         if fresh:
             if len(known) > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros((max(len(known), len(self.scores)), self.scores.shape[1]), np.float32)])
+                more = max(len(known), len(self.scores))
+                self.scores, self.fits = (np.concatenate([x, np.zeros((more, x.shape[1]), x.dtype)]) for x in (self.scores, self.fits))
             for i in range(0, len(fresh), 20_000):
                 part = fresh[i : i + 20_000]
                 at = len(known) - len(fresh) + i
                 self.scores[at : at + len(part)] = self.model.emissions(part)
+                self.fits[at : at + len(part)] = self.model.fits(part)
         return out
 
     def marginals(self, ids: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -218,6 +270,19 @@ class Labeller:
                 yield i, found[r, : lengths[r]]
             at = end
 
+    def judge(self, texts: list[str]) -> Iterator[tuple[int, tuple[int, float, float, bool]]]:
+        """(index of the text, (its language, the language's mean share, the fit, whether it is foreign)) of texts with letters.
+
+        tops holds the language of each word of the text that was given last.
+        """
+        ids = self.ids(texts)
+        for i, found in self.marginals(ids):
+            mean, self.tops = found.mean(axis=0), found.argmax(axis=1)
+            grams = int(self.fits[ids[i], -1].sum(dtype=np.int64))
+            fit = float(self.fits[ids[i], self.tops].sum(dtype=np.int64) / grams)
+            best = int(mean.argmax())
+            yield i, (best, float(min(1.0, mean[best])), fit, fit + 0.5 / grams**0.5 < self.model.least_fit)
+
 
 def held_out(id_col: str) -> Column:
     """True for the documents that are kept from training."""
@@ -225,12 +290,16 @@ def held_out(id_col: str) -> Column:
 
 
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most TRAIN_PER_LANGUAGE windows of each of at most MAX_LANGUAGES languages, from rows that are not held out.
+    """At most TRAIN_PER_LANGUAGE windows of each language, from rows that are not held out.
 
-    Rows are taken in the order of a hash of their id; each task keeps its first ones before anything is shuffled.
+    Rows are taken in the order of a hash of id and text; each task keeps its first ones before anything is shuffled. More than
+    MAX_LANGUAGES languages are an error: such a column hardly holds languages, and none is left out silently.
     """
     labelled = df.filter(F.col(lang_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)) & (F.length(text_col) > 0))
     narrow = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(id_col, text_col).alias("h"))
+    languages = labelled.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} values")
     order = Window.partitionBy("l").orderBy("h")
     chosen = narrow.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRAIN_PER_LANGUAGE).select("i", "l", "h")
     chosen = F.broadcast(chosen.orderBy("l", "h").limit(TRAIN_PER_LANGUAGE * MAX_LANGUAGES))
@@ -247,33 +316,57 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", segments: bool = False) -> DataFrame:
-    """id, lang_pred, score (mean share of that language over the words), and with segments the runs of words of one language.
+    """id, lang_pred, score (mean share of that language over the words), fit, and with segments the runs of words of one language.
 
-    A null text, or one without letters, gives und with score 0; so does every text if the model knows no language. Only the
-    text is used. Nothing is shuffled; repeated rows give repeated rows, and an empty table no rows.
+    fit is the share of the text's trigrams that the training rows of each word's language have; foreign is true for a text that falls short
+    of the model's least fit by more than chance allows its length. A null text, or one without letters, gives und with score and
+    fit 0 and isn't foreign; so does every text if the model knows no language. Only the text is used, whole and of any length. Nothing
+    is shuffled; repeated rows give repeated rows, rows without an id a row without one, and an empty table no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of a size fixed by BUCKETS, LEXICON and MAX_LANGUAGES
-    own: list[Labeller] = []
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of a size bounded by BUCKETS, MAX_LANGUAGES and the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not own:
-            own.append(Labeller(shared.value))
-        labeller, names = own[0], shared.value.languages
+        labeller, names = Labeller(shared.value), shared.value.languages
         for batch in small(batches, 4000):
             texts = batch.column(1).to_pylist()
             langs, scores, parts = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            for i, found in labeller.marginals(labeller.ids(texts)) if names else ():
-                mean = found.mean(axis=0)
-                best = int(mean.argmax())
-                langs[i], scores[i] = names[best], float(min(1.0, mean[best]))
+            fits, foreign = [0.0] * len(texts), [False] * len(texts)
+            for i, (best, score, fit, strange) in labeller.judge(texts) if names else ():
+                langs[i], scores[i], fits[i], foreign[i] = names[best], score, fit, strange
                 if segments:
-                    tops = found.argmax(axis=1)
+                    tops = labeller.tops
                     edges = [0, *(np.flatnonzero(np.diff(tops)) + 1).tolist(), len(tops)]
                     parts[i] = [{"lang": names[tops[a]], "first_word": a, "n_words": b - a} for a, b in zip(edges, edges[1:], strict=False)]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
-            yield pa.record_batch([batch.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(parts, kind)], ["__id", "lang_pred", "score", "segments"])
+            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64()), pa.array(foreign, pa.bool_()), pa.array(parts, kind)]
+            yield pa.record_batch([batch.column(0), *columns], ["__id", "lang_pred", "score", "fit", "foreign", "segments"])
+        labeller.clear()
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"__id {kind}, lang_pred string, score double, segments array<struct<lang: string, first_word: int, n_words: int>>"
+    schema = f"__id {kind}, lang_pred string, score double, fit double, foreign boolean, segments array<struct<lang: string, first_word: int, n_words: int>>"
     out = df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)).mapInArrow(run, schema).withColumnRenamed("__id", id_col)
     return out if segments else out.drop("segments")
+
+
+def keep_known(df: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
+    """The rows whose text is in one of the model's languages: those without letters and foreign ones go.
+
+    A model without languages has nothing to reject by, and all rows stay. Each row is judged by its own text, in place: nothing is
+    shuffled, and columns, repeated rows and rows without an id pass as they are.
+    """
+    if not model.languages:
+        return df
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value)
+        for batch in small(batches, 4000):
+            known = np.zeros(batch.num_rows, bool)
+            for i, (_, _, _, foreign) in labeller.judge([t or "" for t in batch.column(at).to_pylist()]):
+                known[i] = not foreign
+            yield batch.filter(pa.array(known))
+        labeller.clear()
+        give_back()
+
+    return df.mapInArrow(run, df.schema)
