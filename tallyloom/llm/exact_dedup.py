@@ -1,9 +1,10 @@
 """Exact deduplication by progressive refinement.
 
 Two texts are equal when they are identical after every white-space character is deleted. Rows are
-grouped by the length of that normalised text, groups of two or more by a hash of its prefix, and only
-what is still in a group of two or more has its whole text hashed. A row that falls out on the way is
-unique and never takes part in a shuffle of full hashes.
+grouped by the length of that normalised text and a hash of its prefix; both come from one pass over the texts, so the
+first two levels are one summed table, of which the lengths are the coarser sums. Only what is in a group of two
+or more by both has its whole text hashed. A row that falls out on the way is unique and never takes part in a shuffle
+of full hashes.
 
 At scale: the shuffled rows are narrow (ids, lengths, hashes), never texts. The first grouping is summed
 before its shuffle. The keys of surviving groups are broadcast only when counted and found small; beyond
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm._shared import cut, squeeze_space, text_or_empty
@@ -43,6 +44,11 @@ def _signed(df: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) ->
     )
 
 
+def _rank(points: Column, id_col: str) -> Column:
+    """What is least for the row that stays: the most code points, then an id before none, then the smallest id, of any type."""
+    return F.struct(F.negative(points).alias("less"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+
+
 def refine(df: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """One narrow row a document: __id, __points, __len, __prefix, __full (null: unique), and the carried columns."""
     signed = _signed(df, id_col, text_col, carry)
@@ -71,9 +77,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = refine(df, id_col, text_col, carry)
     key = ["__len", "__prefix", "__full"]
     hashed = narrow.filter("__full is not null")
-    best = F.max(F.struct("__points", F.negative("__id").alias("__neg")))
+    best = F.min(_rank(F.col("__points"), "__id"))
     groups = hashed.groupBy(*key).agg(best.alias("__best"), F.count("*").alias("group_size"))
-    grouped = hashed.join(groups, key).withColumn("keep_id", F.negative("__best.__neg"))
+    grouped = hashed.join(groups, key).withColumn("keep_id", F.col("__best.id"))
     alone = narrow.filter("__full is null").withColumn("group_size", F.lit(1).cast("long")).withColumn("keep_id", F.col("__id"))
     out = ["__id", "keep_id", "group_size", *carry]
     return (
@@ -106,11 +112,11 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     else:
         marked = signed.withColumn("__hit", F.lit(True))
     alone = marked.filter("__hit is null").select(*names)
-    order = F.struct(F.length("__text"), F.negative(id_col))
+    order = _rank(F.length("__text"), id_col)
     kept = (
         marked.filter("__hit")
         .select("__len", "__prefix", F.sha2("__norm", 256).alias("__full"), order.alias("__order"), F.struct(*names).alias("__row"))
         .groupBy("__len", "__prefix", "__full")
-        .agg(F.max_by("__row", "__order").alias("__row"))
+        .agg(F.min_by("__row", "__order").alias("__row"))
     )
     return alone.unionByName(kept.select("__row.*"))

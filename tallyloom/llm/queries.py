@@ -67,7 +67,7 @@ select doc_id, source, n_bytes, slot, (instr('{letters}', substr('{table}', slot
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = language_id.identify(docs, language_id.train(docs))
-    return found.select("doc_id", F.coalesce(language_id.held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(language_id.held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score", "fit")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,11 +118,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 o as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as no from t),
-e as (select * from o where length(line) >= 16),
+e as (select * from o where regexp_matches(line, '[^\x20\x09-\x0D]')),
 d as (select line, length(line) as n, min((doc_id, no)) as first from e group by line),
 c as (
   select a.line, a.n, b.line as other, b.n as m, coalesce(list_max(list_filter(generate_series(1, least(a.n, b.n)), lambda k: a.line[:k] = b.line[:k])), 0) as p
-  from d a join d b on abs(a.n - b.n) <= 1 and b.first < a.first
+  from d a join d b on a.n >= 16 and b.n >= 16 and abs(a.n - b.n) <= 1 and b.first < a.first
     and (substr(a.line, 1, 4) = substr(b.line, 1, 4) or right(a.line, 4) = right(b.line, 4))),
 near as (
   select distinct line from c where case when n = m then substr(line, p + 2) = substr(other, p + 2)
