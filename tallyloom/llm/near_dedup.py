@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import small, text_or_empty
+from tallyloom.llm._shared import give_back, small, text_or_empty
 from tallyloom.operators.graph import components
 from tallyloom.sources.scratch import cut
 
@@ -36,6 +36,8 @@ SHINGLE_WORDS, SKETCH, KEYS, HOT = 5, 64, 24, 48
 CHANCE = 1e-6
 #: How far below the similarity the estimate of 64 values may lie.
 ESTIMATE_MARGIN = 0.29
+#: Members of a long list that meet its centre in one task; the share of common members from which on one long list takes in another.
+SPLIT, SAME = 256, 0.75
 #: Ids that may be broadcast to fetch the full sets of candidates.
 BROADCAST_IDS = 2_000_000
 _WORDS_KEPT = 300_000
@@ -106,6 +108,8 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WOR
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), _lists([s[:keep] for s in sets])],
                 ["__id", "n", "k1", "k2", "sketch"],
             )
+        del shingler
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)).mapInArrow(run, f"__id {kind}, n long, k1 long, k2 long, sketch array<long>")
@@ -120,9 +124,12 @@ def _full_sets(df: DataFrame, id_col: str, text_col: str, ids: DataFrame, words:
         shingler = Shingler(words)
         for batch in small(batches):
             yield pa.record_batch([batch.column(0), _lists([shingler.hashes(t) for t in batch.column(1).to_pylist()])], ["rep", "shingles"])
+        del shingler
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
-    return wanted.mapInArrow(run, f"rep {kind}, shingles array<long>").dropDuplicates(["rep"])
+    found = wanted.mapInArrow(run, f"rep {kind}, shingles array<long>")
+    return found.groupBy("rep").agg(F.max_by("shingles", F.struct(F.size("shingles"), F.xxhash64("shingles"))).alias("shingles"))
 
 
 def _pairs_in_lists(posts: DataFrame, percent: int, shared: int) -> DataFrame:
@@ -133,51 +140,92 @@ def _pairs_in_lists(posts: DataFrame, percent: int, shared: int) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("c")).filter(f"c >= {shared}").select("a", "b")
 
 
-def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and further candidates within the lists of hot values, without their pairs.
+def _one_for_many(lists: DataFrame) -> DataFrame:
+    """(value, rep, m) of fewer long lists: one takes in the members of those that have nearly the same members.
 
-    members: (value, rep) of long lists; sets: (rep, shingles). Per list, L holds the hashes that most members have.
+    A group of near copies has as many such lists as a class takes part in. Two members of one list are members of the list
+    that takes it in too, so no meeting is lost.
+    """
+    own = lists.groupBy("rep").agg(F.collect_list(F.struct("m", "value")).alias("v"))
+    both = own.select(F.explode("v").alias("a"), "v").select("a", F.explode("v").alias("b")).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    into = both.filter(F.col("both") >= SAME * F.col("b.m")).groupBy("a.value").agg(F.max("b").alias("into"))
+    moved = cut(lists.join(into, "value", "left").select(F.coalesce("into.value", "value").alias("value"), "rep").distinct())
+    return moved.join(moved.groupBy("value").agg(F.count("*").alias("m")), "value").select("value", "rep", "m")
+
+
+def _dealt(side: DataFrame) -> DataFrame:
+    """One row a list with its size m, once for each of the parts that the list's members are dealt to."""
+    return side.select("*", F.explode(F.sequence(F.lit(0), (F.col("m") / SPLIT).cast("int"))).alias("part"))
+
+
+def _within_reach(ranked: DataFrame, more: int) -> DataFrame:
+    """Drops entries of inverted lists that can't meet a partner: what is left of them is less than they have to share
+    with the member of their list that asks for least."""
+    asked = F.min(F.when(F.col("stray"), F.col("x")))
+    lists = ranked.groupBy("value", "s", "has").agg(F.count("*").alias("c"), F.min("x").alias("any"), asked.alias("strays")).filter("c > 1 and strays is not null")
+    partner = F.when(F.col("stray"), F.col("any")).otherwise(F.col("strays"))
+    return ranked.join(lists, ["value", "s", "has"]).filter(2 * more * F.col("left") >= F.col("x") + partner).select(ranked.columns)
+
+
+def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links and further candidates within long lists without their pairs, and lists of at most half the length that are left to do.
+
+    members: (value, rep, m) of long lists of m members; sets: (rep, shingles). Per list, L holds the hashes that most members have.
     With D(X) the symmetric difference of X and L, two members are similar exactly if |D(X) ^ D(Y)| <= h * (|X| + |Y|),
     h = (1 - t) / (1 + t). Let x(X) = |D(X)| - h * |X|. If x(X) + x(Y) <= 0 the two are certainly similar, so all
     X with x(X) <= -min x are linked to the member with the least x: one star. Any other member X, if it is similar to some Y,
     shares at least (x(X) + x(Y)) / 2 > 0 elements of D(Y) with it; so in any order of the elements the two meet within the
     first |D| minus that bound plus 1 of both, with enough elements left after the first meeting. Rare elements come first, so
-    these inverted lists are short; they give the candidates, and none is lost. x is held times 100 + percent, in whole
-    numbers, so that members exactly at the limit are on the right side of it.
+    the inverted lists of these elements are short, and entries with too little left to meet anyone leave them. Short ones give their
+    pairs as candidates. In a long one all members share an element that at most half of the list have, so it is a list of the same
+    kind, of at most half the length, around a centre of its own: it goes the same way in the next round. No pair is lost. x is
+    held times 100 + percent, in whole numbers, so that members exactly at the limit are on the right side of it.
     """
     more, less = 100 + percent, 100 - percent  # h = less / more
-    rows = members.join(sets, "rep").select("value", "rep", F.size("shingles").alias("n"), "shingles")
-    size = members.groupBy("value").agg(F.count("*").alias("m"))
-    counts = cut(rows.select("value", F.explode("shingles").alias("s")).groupBy("value", "s").agg(F.count("*").alias("df")).join(size, "value"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("rep"), (F.col("m") / SPLIT).cast("int") + 1).cast("int"))
+    rows = members.join(sets, "rep").select("value", "rep", "m", "part", F.size("shingles").alias("n"), "shingles")
+    counts = cut(rows.select("value", "m", F.explode("shingles").alias("s")).groupBy("value", "m", "s").agg(F.count("*").alias("df")))
     # at most twice the mean size of a set; those that the fewest members lack come first
-    core = counts.filter("2 * df > m").groupBy("value").agg(F.sort_array(F.collect_list(F.struct(F.negative("df").alias("k"), "s"))).alias("c")).select("value", F.transform("c", lambda x: x.s).alias("core"))
+    most = counts.filter("2 * df > m").groupBy("value", "m").agg(F.sort_array(F.collect_list(F.struct(F.negative("df").alias("k"), "s"))).alias("c"))
+    core = _dealt(most.select("value", "m", F.transform("c", lambda x: x.s).alias("core")))
     offset = cut(
-        rows.join(core, "value", "left")
+        rows.join(core.drop("m"), ["value", "part"], "left")
         .withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
-        .select("value", "rep", "n", F.array_except("shingles", "core").alias("more"), F.array_except("core", "shingles").alias("less"))
+        .select("value", "rep", "m", "part", "n", F.array_except("shingles", "core").alias("more"), F.array_except("core", "shingles").alias("less"))
         .withColumn("d", F.size("more") + F.size("less"))
         .withColumn("x", more * F.col("d").cast("long") - less * F.col("n"))
     )
-    near = offset.groupBy("value").agg(F.min(F.struct("x", "rep")).alias("best"))
-    placed = offset.join(near, "value").withColumn("stray", F.col("x") + F.col("best.x") > 0)
+    near = cut(offset.groupBy("value", "m").agg(F.min(F.struct("x", "rep")).alias("best"), F.max("x").alias("worst")))
+    placed = offset.join(_dealt(near).drop("m"), ["value", "part"]).withColumn("stray", F.col("x") + F.col("best.x") > 0)
     links = placed.filter("not stray").select(F.col("best.rep").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
-    strays = placed.filter("stray").select("value").distinct()
     # the least share that any pair of a stray and this member must have: of a stray, with the best; of another, with the least stray
     least = F.when(F.col("stray"), F.col("x") + F.col("best.x")).otherwise(F.col("x") - F.col("best.x"))
     need = F.greatest(F.lit(1), F.ceil(least / (2 * more))).cast("int")
-    short = placed.join(strays, "value", "left_semi").select("value", "rep", "n", "stray", "more", "less", "d", "x", (F.col("d") - need + 1).alias("prefix"))
-    # in one order for all members of a list: what they have beyond L, mostly rare, then what they lack
-    signed = lambda name, has: F.transform(name, lambda s: F.struct(s.alias("s"), F.lit(has).alias("has")))
-    spread = short.filter("prefix > 0").repartition("value", "rep")  # a list's members came from few tasks
-    first = spread.select("value", "rep", "n", "stray", "d", "x", F.slice(F.concat(signed("more", True), signed("less", False)), 1, F.col("prefix")).alias("e"))
-    ranked = cut(first.select("value", "rep", "n", "stray", "x", "d", F.posexplode("e").alias("i", "e")).select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("i")).alias("left"), "e.s", "e.has"))
+    short = placed.filter("worst + best.x > 0").withColumn("prefix", F.col("d") - need + 1).filter("prefix > 0")
+    short = cut(short.select("value", "rep", "n", "stray", "more", "less", "d", "x", "prefix"))
+    # in one order for all members of a list: what they have beyond L, rare elements first, then what they lack
+    rare = counts.filter("2 * df <= m and df > 1").select("value", "s", "df")  # an element of one member meets nobody, but takes its place in the order
+    known = short.select("value", "rep", F.explode("more").alias("s")).join(rare, ["value", "s"])
+    ordered = known.groupBy("value", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    lacked = F.transform(F.col("less"), lambda s, i: F.struct((F.size("more") + i).alias("i"), s.alias("s"), F.lit(False).alias("has")))
+    alone = F.size("more") - F.size("shared")
+    had = F.transform(F.col("shared"), lambda e, i: F.struct((alone + i).alias("i"), e.s.alias("s"), F.lit(True).alias("has")))
+    none = F.array().cast("array<struct<df: bigint, s: bigint>>")
+    first = short.join(ordered, ["value", "rep"], "left").withColumn("shared", F.coalesce("shared", none)).select("value", "rep", "n", "stray", "x", "d", "prefix", F.explode(F.concat(had, lacked)).alias("e"))
+    ranked = cut(first.filter("e.i < prefix").select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("e.i")).alias("left"), "e.s", "e.has"))
+    for _ in range(2):
+        ranked = cut(_within_reach(ranked, more))
     key = ["value", "s", "has"]
-    one = ranked.filter("stray").select(*key, F.col("rep").alias("p"), F.col("n").alias("np"), F.col("x").alias("xp"), F.col("left").alias("lp"))
-    other = ranked.select(*key, F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("x").alias("xq"), F.col("left").alias("lq"))
+    length = ranked.groupBy(*key).agg(F.count("*").alias("c")).filter("c > 1")
+    entries = cut(ranked.join(length, key))
+    pairs = entries.filter(f"c <= {HOT}")
+    one = pairs.filter("stray").select(*key, F.col("rep").alias("p"), F.col("n").alias("np"), F.col("x").alias("xp"), F.col("left").alias("lp"))
+    other = pairs.select(*key, F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("x").alias("xq"), F.col("left").alias("lq"))
     # at the first element that two share, what is left of either (itself included) must hold all that they have to share
     room = f"{2 * more} * least(lp, lq) >= xp + xq"
     met = one.join(other, key).filter(f"p <> q and 100 * np >= {percent} * nq and 100 * nq >= {percent} * np and {room}")
-    return links, met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    longer = entries.filter(f"c > {HOT}").select(F.xxhash64(*key).alias("value"), "rep", F.col("c").alias("m"))
+    return links, met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), longer
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,13 +242,15 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     Two documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of shingles of lower-cased (A-Z)
     words; groups are the connected components. A text of fewer words than a shingle counts as one shingle. Null, empty and
     blank texts have no set and are linked with nothing. Rows that repeat an id are one document and get the same result if
-    their texts are equal. An empty table gives an empty result. Other columns are not read.
+    their texts are equal; of an id with different texts the larger set is verified. Rows without an id get the component of the documents
+    with equal sets, and are not kept beside them; those without such documents are linked with nothing and kept. Texts of any length
+    are read whole. An empty table gives an empty result. Other columns are not read.
     """
     t = percent / 100
     few, many = list_bounds(t)
     docs = cut(sketches(df, id_col, text_col, words))
     classes = cut(docs.filter("n > 0").groupBy("k1", "k2").agg(F.min("__id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    posts = classes.select("rep", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))
+    posts = classes.filter("rep is not null").select("rep", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))
     lengths = cut(posts.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1"))
     cold = posts.join(lengths.filter(f"c <= {HOT}"), "value").select("value", "rep", "n")
     hot = cut(posts.join(lengths.filter(f"c > {HOT}"), "value").select("value", "rep", "n"))
@@ -209,7 +259,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     laden = cut(laden.select("rep", "n", F.explode(F.slice("v", 1, many)).alias("value")))
     long = laden.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
     short_lists = laden.join(long.filter(f"c <= {HOT}"), "value").select("value", "rep", "n")
-    long_lists = cut(laden.join(long.filter(f"c > {HOT}"), "value").select("value", "rep"))
+    long_lists = cut(_one_for_many(cut(laden.join(long.filter(f"c > {HOT}"), "value").select("value", "rep", F.col("c").alias("m")))))
 
     pairs = _pairs_in_lists(cold, percent, 2).unionByName(_pairs_in_lists(short_lists, percent, 1)).distinct()
     a = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
@@ -220,8 +270,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     ids = likely.select(F.col("a").alias("rep")).union(likely.select("b")).union(long_lists.select("rep")).distinct()
     sets = cut(_full_sets(df, id_col, text_col, cut(ids), words))
-    star, more = _hot_pairs(long_lists, sets, percent)
-    star, likely = cut(star), likely.unionByName(cut(more).withColumn("estimate", F.lit(0.0)))
+    star = likely.select("a", "b").limit(0)
+    while not long_lists.isEmpty():  # each round's lists are at most half as long as those before
+        links, more, longer = _hot_pairs(long_lists, sets, percent)
+        star, likely = star.unionByName(cut(links)), likely.unionByName(cut(more).withColumn("estimate", F.lit(0.0)))
+        long_lists = cut(longer)
 
     # first each class's likeliest pair: it joins most groups; then only what would join groups that are still apart
     best = likely.groupBy("a").agg(F.max_by("b", "estimate").alias("b"))
