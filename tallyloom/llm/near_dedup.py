@@ -205,7 +205,8 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     short = cut(short.select("value", "rep", "n", "stray", "more", "less", "d", "x", "prefix"))
     # in one order for all members of a list: what they have beyond L, rare elements first, then what they lack
     rare = counts.filter("2 * df <= m and df > 1").select("value", "s", "df")  # an element of one member meets nobody, but takes its place in the order
-    known = short.select("value", "rep", F.explode("more").alias("s")).join(rare, ["value", "s"])
+    tasks = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the members of a list came from few tasks
+    known = short.select("value", "rep", "more").repartition(tasks).select("value", "rep", F.explode("more").alias("s")).join(rare, ["value", "s"])
     ordered = known.groupBy("value", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
     lacked = F.transform(F.col("less"), lambda s, i: F.struct((F.size("more") + i).alias("i"), s.alias("s"), F.lit(False).alias("has")))
     alone = F.size("more") - F.size("shared")
