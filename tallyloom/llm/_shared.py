@@ -9,11 +9,14 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyloom.sources.scratch import cut  # noqa: F401  used by the operators of this package
 
 #: The characters that count as white space in the contracts: \x20 and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\f\r"
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = 2000
 
 
 def text_or_empty(col: str | Column) -> Column:
@@ -43,6 +46,14 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 16 <<
             at += part.num_rows
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_ROWS rows: the JVM's buffers for them lie outside its heap and grow with the texts of a batch."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def give_back() -> None:
     """Returns freed memory to the system at a task's end: the worker lives on, and other operators' tasks share the machine."""
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import Memo, give_back, small, text_or_empty, vocabulary_path
+from tallyloom.llm._shared import Memo, give_back, map_batches, small, text_or_empty, vocabulary_path
 
 #: White space as the pattern's \s has it: the property White_Space, without \x1c-\x1f.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -212,7 +212,7 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"__id {kind}, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    out = df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)).mapInArrow(run, schema).withColumnRenamed("__id", id_col)
+    out = map_batches(df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)), run, schema).withColumnRenamed("__id", id_col)
     return out if ids else out.drop("token_ids")
 
 
@@ -228,4 +228,4 @@ def decode_ids(df: DataFrame, vocabulary: str, ids_col: str = "token_ids", id_co
             yield pa.record_batch([batch.column(0), pa.array(done, pa.binary())], ["__id", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("__id"), ids_col).mapInArrow(run, f"__id {kind}, decoded binary").withColumnRenamed("__id", id_col)
+    return map_batches(df.select(F.col(id_col).alias("__id"), ids_col), run, f"__id {kind}, decoded binary").withColumnRenamed("__id", id_col)

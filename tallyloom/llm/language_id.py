@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import give_back, small, text_or_empty
+from tallyloom.llm._shared import Memo, give_back, map_batches, small, text_or_empty
 
 #: Bounds of the training sample: windows of a language, characters of a window, languages (more are an error).
 TRAIN_PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 300, 1000, 256
@@ -36,7 +36,7 @@ KEPT_BACK = 10
 #: Hashed features; words of a lexicon; words of a training sequence; steps of the fit.
 BUCKETS, LEXICON, SEQUENCE, STEPS = 1 << 15, 1500, 40, 40
 #: Words and runs remembered in a worker, and words times texts that are labelled at once.
-MEMO, BLOCK = 250_000, 200_000
+MEMO, BLOCK = 120_000, 200_000
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -49,16 +49,20 @@ def _hash(feature: str) -> int:
     return zlib.crc32(feature.encode()) % BUCKETS
 
 
+_HASHES = Memo(_hash)  # of affixes and n-grams: few, and in most words
+
+
 def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
-    """The hashed features of a word; an n-gram counts once, however long the word is."""
-    marked = f"^{word}$"
-    found = ["=" + word, f"#{min(len(word), 12)}"]
-    found += ["p" + word[:n] for n in (1, 2, 3) if len(word) > n]
-    found += ["s" + word[-n:] for n in (1, 2, 3, 4) if len(word) > n]
-    found += dict.fromkeys("b" + marked[i : i + 2] for i in range(len(marked) - 1))
-    found += dict.fromkeys("t" + gram for gram in trigrams(word))
+    """The hashed features of a word."""
+    _HASHES.trim(MEMO)
+    marked, n = f"^{word}$", len(word)
+    found = [f"#{min(n, 12)}"]
+    found += ["p" + word[:i] for i in (1, 2, 3) if n > i]
+    found += ["s" + word[-i:] for i in (1, 2, 3, 4) if n > i]
+    found += ["b" + marked[i : i + 2] for i in range(n + 1)]
+    found += ["t" + marked[i : i + 3] for i in range(n)]
     found += [f"l{i}" for i in lexicon.get(word, ())]
-    return [_hash(f) for f in found]
+    return [_hash("=" + word), *map(_HASHES.__getitem__, found)]
 
 
 def trigrams(word: str) -> Iterator[str]:
@@ -78,18 +82,6 @@ class Field:
     grams: dict[str, int] = field(default_factory=dict)
     least_fit: float = 0.0
 
-    def fits(self, words: list[str]) -> np.ndarray:
-        """For each word how many of its trigrams each language has, and in the last column how many it has in all."""
-        out = np.zeros((len(words), len(self.languages) + 1), np.int32)
-        for row, word in zip(out, words, strict=True):
-            known = Counter(map(self.grams.get, trigrams(word)))
-            row[-1] = known.total()
-            for bits, n in known.items():
-                while bits:
-                    row[(bits & -bits).bit_length() - 1] += n
-                    bits &= bits - 1
-        return out
-
     def emissions(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros((0, len(self.languages)), np.float32)
@@ -218,8 +210,20 @@ class Labeller:
 
     def __init__(self, model: Field):
         self.model = model
+        #: For each trigram of the model a row, with a one for each language that has it; row 0 is for all others.
+        self.rows = {gram: i for i, gram in enumerate(model.grams, 1)}
+        bits = np.array([0, *model.grams.values()], object)  # of any number of languages
+        self.has = np.stack([(bits >> i & 1).astype(np.int32) for i in range(len(model.languages))], axis=1) if model.languages else np.zeros((len(bits), 0), np.int32)
         self.clear()
 
+    def grams(self, words: list[str]) -> np.ndarray:
+        """For each word how many of its trigrams each language has, and in the last column how many it has in all."""
+        get = self.rows.get
+        flat = np.fromiter((get(g, 0) for w in words for g in trigrams(w)), np.int32)
+        sizes = np.array([len(w) for w in words])  # as many trigrams as letters, with the ends marked
+        starts = np.cumsum([0, *sizes[:-1]])
+        return np.column_stack([np.add.reduceat(self.has[flat], starts, axis=0), sizes])
+
     def clear(self) -> None:
         self.words: dict[str, int] = {}
         self.runs: dict[str, bytes] = {}
@@ -245,11 +249,11 @@ class Labeller:
             if len(known) > len(self.scores):
                 more = max(len(known), len(self.scores))
                 self.scores, self.fits = (np.concatenate([x, np.zeros((more, x.shape[1]), x.dtype)]) for x in (self.scores, self.fits))
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
+            for i in range(0, len(fresh), 4_000):
+                part = fresh[i : i + 4_000]
                 at = len(known) - len(fresh) + i
                 self.scores[at : at + len(part)] = self.model.emissions(part)
-                self.fits[at : at + len(part)] = self.model.fits(part)
+                self.fits[at : at + len(part)] = self.grams(part)
         return out
 
     def marginals(self, ids: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -345,7 +349,7 @@ def identify(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"__id {kind}, lang_pred string, score double, fit double, foreign boolean, segments array<struct<lang: string, first_word: int, n_words: int>>"
-    out = df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)).mapInArrow(run, schema).withColumnRenamed("__id", id_col)
+    out = map_batches(df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)), run, schema).withColumnRenamed("__id", id_col)
     return out if segments else out.drop("segments")
 
 
@@ -369,4 +373,4 @@ def keep_known(df: DataFrame, model: Field, text_col: str = "text") -> DataFrame
         labeller.clear()
         give_back()
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import small, text_or_empty
+from tallyloom.llm._shared import map_batches, small, text_or_empty
 
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _WIDTH, _LENGTH, _BITS, _COMPRESSION, _PHOTOMETRIC, _STRIPS, _SAMPLES, _ROWS, _STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -260,7 +260,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             yield pa.record_batch([batch.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], ["__id", "n_bytes", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)).mapInArrow(run, f"__id {kind}, n_bytes long, media binary").withColumnRenamed("__id", id_col)
+    return map_batches(df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)), run, f"__id {kind}, n_bytes long, media binary").withColumnRenamed("__id", id_col)
 
 
 PAGE_FIELDS = "page int, width int, height int, bits int, samples int, compression int, predictor int, pixels binary, mean_milli long, distinct_values int, error string"
@@ -297,4 +297,4 @@ def tiff_pages(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
             cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
             yield pa.record_batch(kept + cols, [*keep, *names])
 
-    return df.select(*keep, media_col).mapInArrow(run, f"{kinds}, {PAGE_FIELDS}" if kinds else PAGE_FIELDS)
+    return map_batches(df.select(*keep, media_col), run, f"{kinds}, {PAGE_FIELDS}" if kinds else PAGE_FIELDS)

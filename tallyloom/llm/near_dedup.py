@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import give_back, small, text_or_empty
+from tallyloom.llm._shared import give_back, map_batches, small, text_or_empty
 from tallyloom.operators.graph import components
 from tallyloom.sources.scratch import cut
 
@@ -112,7 +112,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WOR
         give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)).mapInArrow(run, f"__id {kind}, n long, k1 long, k2 long, sketch array<long>")
+    return map_batches(df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)), run, f"__id {kind}, n long, k1 long, k2 long, sketch array<long>")
 
 
 def _full_sets(df: DataFrame, id_col: str, text_col: str, ids: DataFrame, words: int) -> DataFrame:
@@ -128,7 +128,7 @@ def _full_sets(df: DataFrame, id_col: str, text_col: str, ids: DataFrame, words:
         give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
-    found = wanted.mapInArrow(run, f"rep {kind}, shingles array<long>")
+    found = map_batches(wanted, run, f"rep {kind}, shingles array<long>")
     return found.groupBy("rep").agg(F.max_by("shingles", F.struct(F.size("shingles"), F.xxhash64("shingles"))).alias("shingles"))
 
 

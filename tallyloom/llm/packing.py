@@ -24,15 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import Memo, give_back, small, text_or_empty, vocabulary_path
-from tallyloom.llm.token_counts import MEMO, TokenCounter
+from tallyloom.llm._shared import Memo, give_back, map_batches, small, text_or_empty, vocabulary_path
+from tallyloom.llm.token_counts import Splitter
 
 #: Tokens of a window; the longest part of a document that is packed with others; windows that a block aims to fill;
 #: tokens of a block left free, which is what differencing needs to even out.
 WINDOW, PIECE_TOKENS, BLOCK_WINDOWS, SLACK = 2048, 512, 96, 48
+#: Words and runs remembered in a worker.
+MEMO = 200_000
 
 
-class WordIds(TokenCounter):
+class WordIds(Splitter):
     """Ids by the library's model, remembered by runs of characters without white space, two bytes an id."""
 
     def __init__(self, path: str):
@@ -47,7 +49,6 @@ class WordIds(TokenCounter):
         self.ids_of_run = Memo(lambda run: b"".join(map(self.ids_of_word.__getitem__, self.words(self.normalise(run)))))
 
     def forget(self) -> None:
-        super().forget()
         self.ids_of_word.clear()
         self.ids_of_run.clear()
 
@@ -204,5 +205,5 @@ def pack_documents(
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"__id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-    out = df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)).mapInArrow(run, schema).withColumnRenamed("__id", id_col)
+    out = map_batches(df.select(F.col(id_col).alias("__id"), text_or_empty(text_col)), run, schema).withColumnRenamed("__id", id_col)
     return out if with_ids else out.drop("ids")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import Memo, give_back, small, text_or_empty, vocabulary_path
+from tallyloom.llm._shared import Memo, give_back, map_batches, small, text_or_empty, vocabulary_path
 from tallyloom.llm.byte_bpe import SPACE
 
 #: Characters of a chunk of a text, and of a word.
@@ -256,38 +256,34 @@ def up_sweep(maps: list[T], compose: Callable[[T, T], T]) -> T:
     return maps[0]
 
 
-class TokenCounter:
+class Splitter:
+    """Runs and words of a text, as the tokenizer of a file has them."""
+
     def __init__(self, path: str):
         import regex
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if model.get("end_of_word_suffix") != "</w>" or split["pattern"].get("Regex") != WORD_PATTERN or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("this tokenizer isn't of the kind that is compiled here")
-        self.machine = WordMachine(model["vocab"], merges)
         self.pattern = regex.compile(WORD_PATTERN).findall
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"])))).finditer
         self.marks = tuple(t["content"] for t in spec["added_tokens"])
         self.odd_space = regex.compile("[\x1c-\x1f]").search
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.bytes = str.maketrans({i: c for i, c in enumerate(printable_bytes())})
-        self.counts = ShortMemo(self.run)
-        self.known = ShortMemo(lambda word: self.machine.tokens(self.symbols(word)))
+        self.compile(model)
+
+    def compile(self, model: dict) -> None:
+        """Takes what else is needed of the file's model."""
 
     def symbols(self, word: str) -> str:
         """A word's bytes, each as the character that stands for it."""
         return word.encode().decode("latin-1").translate(self.bytes)
 
-    def forget(self) -> None:
-        """Frees what is remembered, so that tasks of other operators in the same worker have the memory."""
-        self.counts.clear()
-        self.known.clear()
-        self.machine.reset()
-
     def normalise(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
@@ -301,14 +297,30 @@ class TokenCounter:
             return [run[:-1], run[-1]]
         return self.pattern(run)
 
+    def split(self, text: str) -> list[str]:
+        return [r for r in self.spaces(text) if r] if self.odd_space(text) else text.split()
+
+
+class TokenCounter(Splitter):
+    """Counts by the compiled machines."""
+
+    def compile(self, model: dict) -> None:
+        merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.machine = WordMachine(model["vocab"], merges)
+        self.counts = ShortMemo(self.run)
+        self.known = ShortMemo(lambda word: self.machine.tokens(self.symbols(word)))
+
+    def forget(self) -> None:
+        """Frees what is remembered, so that tasks of other operators in the same worker have the memory."""
+        self.counts.clear()
+        self.known.clear()
+        self.machine.reset()
+
     def run(self, run: str) -> int:
         """The tokens of a run of characters without white space."""
         self.known.trim(MEMO)
         return sum(map(self.known.__getitem__, self.words(self.normalise(run))))
 
-    def split(self, text: str) -> list[str]:
-        return [r for r in self.spaces(text) if r] if self.odd_space(text) else text.split()
-
     def total(self, runs: list[str]) -> int:
         self.counts.trim(MEMO)
         return sum(map(self.counts.__getitem__, runs))
@@ -377,4 +389,4 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     kind = df.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
     narrow = df.select(F.col(id_col).alias("__id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("__text"))
-    return narrow.mapInArrow(run, f"__id {kind}, n_bytes long, n_tokens long").withColumnRenamed("__id", id_col)
+    return map_batches(narrow, run, f"__id {kind}, n_bytes long, n_tokens long").withColumnRenamed("__id", id_col)
