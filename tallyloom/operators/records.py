@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,36 +29,58 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return len(a & b) / union if union else 1.0
 
 
+def _likeness(sets: list[frozenset]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each window's set, equal for equal ones, and the matrix of which entries the distinct sets have."""
+    kinds = {s: k for k, s in enumerate(dict.fromkeys(sets))}
+    entries = {x: j for j, x in enumerate(sorted(frozenset().union(*kinds)))}
+    has = np.zeros((len(kinds), max(1, len(entries))))
+    for s, k in kinds.items():
+        has[k, [entries[x] for x in s]] = 1
+    return np.array([kinds[s] for s in sets]), has
+
+
+def _alike(has: np.ndarray, k: int) -> np.ndarray:
+    """The Jaccard similarity of one distinct set to all of them."""
+    both = has @ has[k]
+    union = has.sum(axis=1) + has[k].sum() - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
+def _groups(units: list[list[str]], length: int, how: Mining) -> Iterator[tuple[float, int, dict]]:
+    """(score, first start, group) of the windows of one length.
+
+    What follows a record depends only on where it ends and on the set that it must resemble, so for each distinct set the next
+    window that fits is known for every place at once, and each of its windows reads its group off that table.
+    """
+    sets = [frozenset(x for u in units[i : i + length] for x in u) for i in range(len(units) - length + 1)]
+    kind, has = _likeness(sets)
+    places = np.arange(len(sets))
+    alike = {k: _alike(has, k) for k in range(len(has))}
+    for k, row in alike.items():
+        fitting = np.where(row[kind] >= how.similarity, places, len(sets))
+        following = np.minimum.accumulate(fitting[::-1])[::-1]
+        ahead = np.full(len(sets), -1)
+        ends = places[: max(0, len(sets) - length)]
+        ahead[ends] = np.where((following[ends + length] < len(sets)) & (following[ends + length] <= ends + length + how.max_gap), following[ends + length], -1)
+        for start in np.flatnonzero(kind == k).tolist():
+            starts = [start]
+            while (after := int(ahead[starts[-1]])) >= 0:
+                starts.append(after)
+            if len(starts) >= how.min_records:
+                times = Counter(kind[starts].tolist())
+                pairs = sum(n * (n - 1) / 2 + sum(n * m * alike[a][b] for b, m in times.items() if b > a) for a, n in times.items())
+                confidence = round(float(pairs / (len(starts) * (len(starts) - 1) / 2)), 6) if len(starts) > 1 else 0.0
+                yield len(starts) * length * confidence, start, {"unit_count": length, "starts": starts, "confidence": confidence, "signature": sorted(sets[start])}
+
+
 def mine(units: list[list[str]], how: Mining = Mining()) -> list[dict]:
     """Groups of windows that resemble the first of them, found from left to right with few units between them.
 
-    Longer windows come first; groups are ordered by records * units * confidence, of equal ones the first found.
+    Groups are ordered by records * units * confidence; of equal ones longer windows come first, then earlier ones.
     """
-    n = len(units)
-    upper = min(how.max_units, n // how.min_records or how.max_units)
-    found, order = {}, 0
-    for length in range(upper, how.min_units - 1, -1):
-        windows = [frozenset(x for u in units[i : i + length] for x in u) for i in range(n - length + 1)]
-        for start in range(len(windows)):
-            records, cursor = [start], start + length
-            while cursor <= n - length:
-                probe = next((p for p in range(cursor, min(n - length, cursor + how.max_gap) + 1) if jaccard(windows[start], windows[p]) >= how.similarity), None)
-                if probe is None:
-                    break
-                records.append(probe)
-                cursor = probe + length
-            if len(records) >= how.min_records:
-                pairs = [(a, b) for i, a in enumerate(records) for b in records[i + 1 :]]
-                total = 0.0
-                for a, b in pairs:
-                    total += jaccard(windows[a], windows[b])
-                confidence = round(total / len(pairs), 6) if pairs else 0.0
-                group = {"unit_count": length, "starts": records, "confidence": confidence, "signature": sorted(windows[start])}
-                key = (length, tuple(records))
-                score = len(records) * length * confidence
-                found.setdefault(key, (score, order, group))
-                order += 1
-    return [g for _, _, g in sorted(found.values(), key=lambda x: (-x[0], x[1]))]
+    longest = min(how.max_units, len(units) // how.min_records or how.max_units, len(units))
+    found = [g for length in range(how.min_units, longest + 1) for g in _groups(units, length, how)]
+    return [group for _, _, group in sorted(found, key=lambda g: (-g[0], -g[2]["unit_count"], g[1]))]
 
 
 def mine_records(df: DataFrame, doc_col: str, pos_col: str, signature_col: str, how: Mining = Mining()) -> DataFrame:

@@ -13,7 +13,7 @@ from tallyloom.functions.numeric import PPM, settled
 from tallyloom.operators import emergence, measure, priors
 from tallyloom.session import table
 
-DIMS, PERMUTATIONS, FOLDS = 64, 200, 4
+DIMS, PERMUTATIONS, FOLDS = 64, 2000, 4
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +277,7 @@ ob as (select coalesce(avg(corr) filter (a % 3 = b % 3), 0) - coalesce(avg(corr)
 pg as (select x.perm, coalesce(avg(corr) filter (x.label = y.label), 0) - coalesce(avg(corr) filter (x.label <> y.label), 0) g from corr join sh x on x.book = a join sh y on y.book = b and x.perm = y.perm group by 1)
 select round(gap, 6) + 0.0 as gap, cast(sum(case when g >= gap - 1e-12 then 1 else 0 end) as bigint) as at_least, round((sum(case when g >= gap - 1e-12 then 1 else 0 end) + 1)/{PERMUTATIONS + 1}.0::double, 6) + 0.0 as p_value from pg, ob group by gap"""
 
-KS = (1, 3, 5, 0)
+KS = (1, 3, 5, 10, 20, 0)
 
 
 def t05_topk_prior(spark, sf_dir):
@@ -291,7 +291,7 @@ def t05_topk_prior(spark, sf_dir):
 
 T05 = BASE + "," + CORR + f""", bo as (select a h, b o, corr from corr union all select b, a, corr from corr),
 rk as (select h, o, row_number() over (partition by h order by round(corr, 9) desc, o) r, count(*) over (partition by h) n from bo),
-ks as (select unnest([1, 3, 5, 0]) k),
+ks as (select unnest([1, 3, 5, 10, 20, 0]) k),
 nm as (select h as book, k, cell, sum(mass) mass from rk join mass on mass.book = rk.o cross join ks where r <= case when k = 0 then n else k end and (k = 0 or k <= n) group by 1, 2, 3),
 q as ({_norm_sql('nm', 'book, k')})
 select book, k, round(avg(bits), 6) + 0.0 as surprise from (select sp.book, k, pos, sum(case when p > 0 then -p*log2(q) else 0 end) bits from sp join q on sp.book = q.book and sp.cell = q.cell group by 1, 2, 3) group by 1, 2"""

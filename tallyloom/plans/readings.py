@@ -121,7 +121,7 @@ K10 = "select 'relation' as kind, source as token, 'prior' as origin, 0::bigint
 
 
 def g09_basis(spark, sf_dir):
-    chosen = records.select_basis(measured(spark, sf_dir).select(F.col("vec_id").alias("candidate_id"), "amplitude_ppm"), target=12)
+    chosen = records.select_basis(measured(spark, sf_dir).select(F.col("vec_id").alias("candidate_id"), "amplitude_ppm"))
     return spark.createDataFrame([(c["rank"], c["candidate_id"], c["admitted_for"], c["gain"]) for c in chosen], "rank int, candidate_id long, admitted_for string, gain long")
 
 
@@ -149,17 +149,17 @@ def a16_tiers(spark, sf_dir):
 
 
 def c11_readiness(spark, sf_dir):
-    """Users as channels, their events as splits."""
+    """Users as channels, each of their events as a split."""
     e = table(spark, sf_dir, "events")
-    channels = e.groupBy(F.col("user_id").alias("channel")).agg(F.max(F.col("event_id") % 25).alias("median_steps"), (F.avg("value") / 120).alias("fragmentation"))
-    splits = e.filter("event_id % 7 = 0").select(F.col("user_id").alias("channel"), F.col("event_type").alias("seed"), (F.col("event_id") % 35 != 0).alias("recovered"), F.col("value").alias("gain"), F.lit(1.0).alias("null_gain"), (F.col("value") - 3).alias("effect"))
+    channels = e.groupBy(F.col("user_id").alias("channel")).agg(F.median(F.col("event_id") % 25).alias("median_steps"), (F.avg("value") / 120).alias("fragmentation"))
+    splits = e.select(F.col("user_id").alias("channel"), F.col("event_type").alias("seed"), (F.col("event_id") % 35 != 0).alias("recovered"), F.col("value").alias("gain"), F.lit(1.0).alias("null_gain"), (F.col("value") - 3).alias("effect"))
     r = contracts.readiness(channels, splits)
     return r.select("channel", "ready", F.array_join("reasons", ",").alias("reasons"))
 
 
 C11 = """
-with c as (select user_id, max(event_id % 25) ms, avg(value)/120 fr from events group by 1),
-s as (select user_id, count(distinct event_type) seeds, count(*) n, count(*) filter (event_id % 35 = 0) lost, count(*) filter (not (value > 1.0)) bn, count(*) filter (not (value - 3 >= 0)) be from events where event_id % 7 = 0 group by 1),
+with c as (select user_id, median(event_id % 25) ms, avg(value)/120 fr from events group by 1),
+s as (select user_id, count(distinct event_type) seeds, count(*) n, count(*) filter (event_id % 35 = 0) lost, count(*) filter (not (value > 1.0)) bn, count(*) filter (not (value - 3 >= 0)) be from events group by 1),
 j as (select c.user_id, ms, fr, coalesce(seeds, 0) seeds, coalesce(n, 0) n, coalesce(lost, 0) lost, coalesce(bn, 0) bn, coalesce(be, 0) be from c left join s on c.user_id = s.user_id),
 r as (select user_id, list_filter([case when ms < 12 then 'median_n_steps_above_floor' end, case when seeds < 3 then 'min_independent_splits' end, case when n = 0 or lost > 0 then 'kind_recovers_across_splits' end,
   case when n = 0 or bn > 0 then 'transfer_gain_clears_membership_null' end, case when n = 0 or be > 0 then 'relative_effect_floor_met_on_holdout' end, case when fr >= 0.35 then 'coreference_fragmentation_below_threshold' end], lambda x: x is not null) a from j)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as rules
 from tallyloom.operators import company
 from tallyloom.session import table
+from tallyloom.sources.scratch import cut
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,22 +183,22 @@ F33 = "select doc_id, case when doc_id % 5 = 0 then null else 'reader' || (doc_i
 def f47_small_rules(spark, sf_dir):
     """The small normal forms side by side."""
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", rules.actor_slug(F.substring("text", 1, 12)).alias("slug"), rules.norm_token(F.substring("text", 1, 9)).alias("token"), rules.array_path(F.concat(F.lit("a["), "doc_id", F.lit("].b[0].c"))).alias("path"))
+    return d.select("doc_id", rules.actor_slug(F.col("text")).alias("slug"), rules.norm_token(F.col("text")).alias("token"), rules.array_path(F.concat(F.lit("a["), "doc_id", F.lit("].b[0].c"))).alias("path"))
 
 
-F47 = r"""with s as (select doc_id, text, regexp_replace(lower(regexp_replace(substr(text, 1, 12), '^\s+|\s+$', '', 'g')), '\s+', '-', 'g') g from documents)
-select doc_id, case when g = '' then 'anonymous' else g end as slug, regexp_replace(lower(substr(text, 1, 9)), '\.$', '') as token, 'a[].b[].c' as path from s"""
+F47 = r"""with s as (select doc_id, text, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', '-', 'g') g from documents)
+select doc_id, case when g = '' then 'anonymous' else g end as slug, regexp_replace(lower(text), '\.$', '') as token, 'a[].b[].c' as path from s"""
 
 
 def a22_token_frequency(spark, sf_dir):
-    """Words of 50 uses or more: how often lower-case, capitalised, and before a full stop."""
+    """Every word: how often used, capitalised, in small letters, and before a full stop."""
     w = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+\.?)"), 1)).alias("w"))
     token = F.lower(F.regexp_replace("w", r"\.$", ""))
-    found = w.groupBy(token.alias("token")).agg(F.count("*").alias("n"), F.count_if(F.col("w").rlike(r"^\p{Lu}")).alias("n_cap"), F.count_if(F.col("w").endswith(".")).alias("n_dot"))
-    return found.filter("n >= 50")
+    found = w.groupBy(token.alias("token")).agg(F.count("*").alias("n"), F.count_if(F.col("w").rlike(r"^\p{Lu}")).alias("n_cap"), F.count_if(F.col("w").rlike(r"^\p{Ll}")).alias("n_lower"), F.count_if(F.col("w").endswith(".")).alias("n_dot"))
+    return found
 
 
-A22 = r"with w as (select unnest(regexp_extract_all(text, '(\p{L}+\.?)', 1)) w from documents) select lower(regexp_replace(w, '\.$', '')) as token, count(*) as n, count(*) filter (regexp_matches(w, '^\p{Lu}')) as n_cap, count(*) filter (w like '%.') as n_dot from w group by 1 having count(*) >= 50"
+A22 = r"with w as (select unnest(regexp_extract_all(text, '(\p{L}+\.?)', 1)) w from documents) select lower(regexp_replace(w, '\.$', '')) as token, count(*) as n, count(*) filter (regexp_matches(w, '^\p{Lu}')) as n_cap, count(*) filter (regexp_matches(w, '^\p{Ll}')) as n_lower, count(*) filter (w like '%.') as n_dot from w group by 1"
 
 
 def _speech(spark, sf_dir):
@@ -218,15 +219,14 @@ select token, count(*) as count from w where (regexp_matches(token, '(ed|s|t)$')
 
 
 def a25_frames(spark, sf_dir):
-    """Report verbs and source nouns before that, of conversations and documents."""
-    texts = _docs(spark, sf_dir).filter("lang = 'en'")
-    verbs, nouns = company.frames(company.token_stream(texts, "text", "doc_id"), [], ["that"])
+    """Report verbs and source nouns before that, of all documents."""
+    verbs, nouns = company.frames(company.token_stream(_docs(spark, sf_dir), "text", "doc_id"), [], ["that"])
     return verbs.withColumn("register", F.lit("report-verb")).unionByName(nouns.withColumn("register", F.lit("source-noun")))
 
 
 _DET = "('the','a','an','this','that','these','those','his','her','its','their','our','my','your','one','another','some','any','each','every','no')"
 A25 = rf"""
-with t as (select doc_id, regexp_extract_all(lower(text), '([a-z][a-z''’-]*)', 1) a from documents where lang = 'en'),
+with t as (select doc_id, regexp_extract_all(lower(text), '([a-z][a-z''’-]*)', 1) a from documents),
 u as (select doc_id, unnest(generate_series(1, len(a))) i, unnest(a) w from t),
 x as (select *, lead(w) over q nx, lag(w, 1) over q b1, lag(w, 2) over q b2, lag(w, 3) over q b3, lag(w, 4) over q b4 from u window q as (partition by doc_id order by i)),
 m as (select * from x where nx = 'that' and b1 is not null),
@@ -264,14 +264,14 @@ def a27_company(spark, sf_dir):
 
 
 A27 = f"with {_TOK} select token, side, other, c as count from nb"
-FRAME, POOL, NEAREST, LEAST, ALIKE = 100, 300, 10, 3, 0.30
+FRAME, POOL, NEAREST, LEAST, ALIKE = 100, 500, 10, 3, 0.30
 
 
 def _nearest(spark, sf_dir):
     stream = _stream(spark, sf_dir)
     freq = company.frequencies(stream)
-    pool = company.top_tokens(freq, POOL, LEAST)
-    return pool, company.nearest(company.company_vectors(company.neighbours(stream), company.top_tokens(freq, FRAME), pool), NEAREST)
+    pool = cut(company.top_tokens(freq, POOL, LEAST))  # at most POOL rows; both tables are read more than once
+    return pool, cut(company.nearest(company.company_vectors(company.neighbours(stream), company.top_tokens(freq, FRAME), pool), NEAREST))
 
 
 def t02_frame(spark, sf_dir):
@@ -288,7 +288,7 @@ def t04_knn(spark, sf_dir):
 _KNN = f"""{_TOK}, fm as (select token from fr order by freq desc, token limit {FRAME}), po as (select token, freq from fr where freq >= {LEAST} order by freq desc, token limit {POOL}),
 vc as (select token, side || other coord, c / sqrt(sum(c*c) over (partition by token)) x from nb where other in (select token from fm) and token in (select token from po)),
 si as (select p.token a, q.token b, round(sum(p.x*q.x), 9) sim from vc p join vc q on p.coord = q.coord and p.token <> q.token group by 1, 2),
-kn as (select * from (select *, row_number() over (partition by a order by sim desc, b) r from si where sim > 0) where r <= {NEAREST})"""
+kn as materialized (select * from (select *, row_number() over (partition by a order by sim desc, b) r from si where sim > 0) where r <= {NEAREST})"""
 T04 = f"with {_KNN} select a, b, round(sim, 6) as sim from kn"
 
 
