@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import ledgers, measurement, projections, readings, texts
+from tallyloom.plans import corpora, ledgers, measurement, projections, readings, texts
 
-_PLANS = [measurement, ledgers, texts, readings, projections]
+_PLANS = [measurement, ledgers, texts, readings, projections, corpora]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
