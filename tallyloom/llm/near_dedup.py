@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm._shared import give_back, map_batches, small, text_or_empty
@@ -158,13 +158,18 @@ def _dealt(side: DataFrame) -> DataFrame:
     return side.select("*", F.explode(F.sequence(F.lit(0), (F.col("m") / SPLIT).cast("int"))).alias("part"))
 
 
+def _difference(a: str, b: str) -> Column:
+    """The elements of two sets that only one of them has."""
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
 def _within_reach(ranked: DataFrame, more: int) -> DataFrame:
     """Drops entries of inverted lists that can't meet a partner: what is left of them is less than they have to share
     with the member of their list that asks for least."""
     asked = F.min(F.when(F.col("stray"), F.col("x")))
-    lists = ranked.groupBy("value", "s", "has").agg(F.count("*").alias("c"), F.min("x").alias("any"), asked.alias("strays")).filter("c > 1 and strays is not null")
+    lists = ranked.groupBy("value", "s").agg(F.count("*").alias("c"), F.min("x").alias("any"), asked.alias("strays")).filter("c > 1 and strays is not null")
     partner = F.when(F.col("stray"), F.col("any")).otherwise(F.col("strays"))
-    return ranked.join(lists, ["value", "s", "has"]).filter(2 * more * F.col("left") >= F.col("x") + partner).select(ranked.columns)
+    return ranked.join(lists, ["value", "s"]).filter(2 * more * F.col("left") >= F.col("x") + partner).select(ranked.columns)
 
 
 def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -175,24 +180,30 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     h = (1 - t) / (1 + t). Let x(X) = |D(X)| - h * |X|. If x(X) + x(Y) <= 0 the two are certainly similar, so all
     X with x(X) <= -min x are linked to the member with the least x: one star. Any other member X, if it is similar to some Y,
     shares at least (x(X) + x(Y)) / 2 > 0 elements of D(Y) with it; so in any order of the elements the two meet within the
-    first |D| minus that bound plus 1 of both, with enough elements left after the first meeting. Rare elements come first, so
-    the inverted lists of these elements are short, and entries with too little left to meet anyone leave them. Short ones give their
+    first |D| minus that bound plus 1 of both, with enough elements left after the first meeting. Elements without such a meeting
+    come first and rare ones next, so the inverted lists are short, and entries with too little left to meet anyone leave them. Short ones give their
     pairs as candidates. In a long one all members share an element that at most half of the list have, so it is a list of the same
     kind, of at most half the length, around a centre of its own: it goes the same way in the next round. No pair is lost. x is
     held times 100 + percent, in whole numbers, so that members exactly at the limit are on the right side of it.
     """
     more, less = 100 + percent, 100 - percent  # h = less / more
     members = members.withColumn("part", F.pmod(F.xxhash64("rep"), (F.col("m") / SPLIT).cast("int") + 1).cast("int"))
-    rows = members.join(sets, "rep").select("value", "rep", "m", "part", F.size("shingles").alias("n"), "shingles")
-    counts = cut(rows.select("value", "m", F.explode("shingles").alias("s")).groupBy("value", "m", "s").agg(F.count("*").alias("df")))
-    # at most twice the mean size of a set; those that the fewest members lack come first
-    most = counts.filter("2 * df > m").groupBy("value", "m").agg(F.sort_array(F.collect_list(F.struct(F.negative("df").alias("k"), "s"))).alias("c"))
-    core = _dealt(most.select("value", "m", F.transform("c", lambda x: x.s).alias("core")))
+    # differences from any one member tell how many have each hash, and near copies have few: sets aren't listed element by element
+    one = members.groupBy("value", "m").agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"))
+    first = _dealt(one.join(sets, "rep").select("value", "m", F.col("shingles").alias("first")))
+    apart = cut(
+        members.join(sets, "rep")
+        .join(first.drop("m"), ["value", "part"])
+        .select("value", "rep", "m", "part", F.size("shingles").alias("n"), _difference("shingles", "first").alias("e"))
+    )
+    counts = cut(apart.select("value", "m", F.explode("e").alias("s")).groupBy("value", "m", "s").agg(F.count("*").alias("c")))
+    # where most members differ from the first it is L that differs from it; at most twice the mean size of a set
+    flips = _dealt(counts.filter("2 * c > m").groupBy("value", "m").agg(F.collect_list("s").alias("flip")))
     offset = cut(
-        rows.join(core.drop("m"), ["value", "part"], "left")
-        .withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
-        .select("value", "rep", "m", "part", "n", F.array_except("shingles", "core").alias("more"), F.array_except("core", "shingles").alias("less"))
-        .withColumn("d", F.size("more") + F.size("less"))
+        apart.join(flips.drop("m"), ["value", "part"], "left")
+        .withColumn("flip", F.coalesce("flip", F.array().cast("array<long>")))
+        .select("value", "rep", "m", "part", "n", _difference("e", "flip").alias("e"))
+        .withColumn("d", F.size("e"))
         .withColumn("x", more * F.col("d").cast("long") - less * F.col("n"))
     )
     near = cut(offset.groupBy("value", "m").agg(F.min(F.struct("x", "rep")).alias("best"), F.max("x").alias("worst")))
@@ -202,21 +213,19 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     least = F.when(F.col("stray"), F.col("x") + F.col("best.x")).otherwise(F.col("x") - F.col("best.x"))
     need = F.greatest(F.lit(1), F.ceil(least / (2 * more))).cast("int")
     short = placed.filter("worst + best.x > 0").withColumn("prefix", F.col("d") - need + 1).filter("prefix > 0")
-    short = cut(short.select("value", "rep", "n", "stray", "more", "less", "d", "x", "prefix"))
-    # in one order for all members of a list: what they have beyond L, rare elements first, then what they lack
-    rare = counts.filter("2 * df <= m and df > 1").select("value", "s", "df")  # an element of one member meets nobody, but takes its place in the order
+    short = cut(short.select("value", "rep", "n", "stray", "e", "d", "x", "prefix"))
+    # in one order for all members of a list: first the elements at which no stray meets anyone, which need no entry but take their
+    # places, then the others, rare ones first
+    asked = short.filter("stray").select("value", F.explode("e").alias("s")).distinct()
+    meeting = counts.select("value", "s", F.least(F.col("c"), F.col("m") - F.col("c")).alias("df")).filter("df > 1").join(asked, ["value", "s"])
     tasks = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the members of a list came from few tasks
-    known = short.select("value", "rep", "more").repartition(tasks).select("value", "rep", F.explode("more").alias("s")).join(rare, ["value", "s"])
-    ordered = known.groupBy("value", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
-    lacked = F.transform(F.col("less"), lambda s, i: F.struct((F.size("more") + i).alias("i"), s.alias("s"), F.lit(False).alias("has")))
-    alone = F.size("more") - F.size("shared")
-    had = F.transform(F.col("shared"), lambda e, i: F.struct((alone + i).alias("i"), e.s.alias("s"), F.lit(True).alias("has")))
-    none = F.array().cast("array<struct<df: bigint, s: bigint>>")
-    first = short.join(ordered, ["value", "rep"], "left").withColumn("shared", F.coalesce("shared", none)).select("value", "rep", "n", "stray", "x", "d", "prefix", F.explode(F.concat(had, lacked)).alias("e"))
-    ranked = cut(first.filter("e.i < prefix").select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("e.i")).alias("left"), "e.s", "e.has"))
+    listed = short.repartition(tasks).select("value", "rep", "n", "stray", "x", "d", "prefix", F.explode("e").alias("s")).join(meeting, ["value", "s"])
+    member = Window.partitionBy("value", "rep")
+    place = F.col("d") - F.count("*").over(member) + F.row_number().over(member.orderBy("df", "s"))
+    ranked = cut(listed.withColumn("i", place).filter("i <= prefix").select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("i") + 1).alias("left"), "s"))
     for _ in range(2):
         ranked = cut(_within_reach(ranked, more))
-    key = ["value", "s", "has"]
+    key = ["value", "s"]
     length = ranked.groupBy(*key).agg(F.count("*").alias("c")).filter("c > 1")
     entries = cut(ranked.join(length, key))
     pairs = entries.filter(f"c <= {HOT}")
