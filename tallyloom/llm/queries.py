@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, exact_dedup, language_id, line_dedup, media_tiff, near_dedup, packing, secret_scan, sharding, token_counts
+from tallyloom.llm import byte_bpe, clustering, exact_dedup, fingerprints, language_id, line_dedup, media_tiff, near_dedup, packing, secret_scan, sharding, token_counts, whitening
 from tallyloom.llm._shared import squeeze_space, text_or_empty
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -136,6 +136,64 @@ from t left join g on t.doc_id = g.doc_id
 """
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """One assignment and one mean a round, written out; arg_min takes the smaller number of equally near centroids by a pair."""
+    distance = "list_sum(list_transform(list_zip(e.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    assign = "a{r} as materialized (select e.i, min(({d}, c.n)) as best from e cross join c{r} c group by e.i)"
+    move = """s{r} as (select best[2] as n, dim, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) as m
+  from (select a.best, unnest(e.x) as v, generate_subscripts(e.x, 1) as dim from a{r} a join e on a.i = e.i) group by 1, 2),
+c{t} as materialized (select c.n, coalesce(any_value(s.x), any_value(c.x)) as x
+  from c{r} c left join (select n, list(m::bigint order by dim) as x from s{r} group by n) s on c.n = s.n group by c.n)"""
+    steps = [p.format(r=r, t=r + 1, d=distance) for r in range(rounds) for p in (assign, move)] + [assign.format(r=rounds, d=distance)]
+    return f"""
+with e as materialized (
+  select row_number() over () as i, vec_id, list_transform(embedding, lambda v: floor(1024 * v::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = 64),
+c0 as materialized (
+  select row_number() over (order by h, x) - 1 as n, x from (select sha256('3:' || coalesce(vec_id::varchar, '')) as h, x from e order by h, x limit {k})),
+{", ".join(steps)}
+select e.vec_id, a.best[2]::int as cluster, a.best[1]::bigint as distance,
+  (sum(a.best[1]) over (partition by a.best[2]))::bigint as cluster_inertia, (sum(a.best[1]) over ())::bigint as inertia,
+  sha256(array_to_string(c.x, ',')) as centroid_sha256
+from a{rounds} a join e on a.i = e.i join c{rounds} c on c.n = a.best[2]
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(_documents(spark, sf_dir))
+
+
+def _op13_print(text: str) -> str:
+    """The fingerprint of a text as SQL."""
+    words = rf"regexp_extract_all(lower({text}), '[^\x20\x09-\x0D]+')"
+    hashes = f"(select list_transform(case when len(w) = 0 then [] else generate_series(1, greatest(1, len(w) - 4)) end, lambda i: left(md5(array_to_string(w[i:i + 4], ' ')), 16)) as h from (select {words} as w))"
+    return f"""(select list_sort(list_distinct(case when list_min(h) < '2' then list_filter(h, lambda x: x < '2') when len(h) > 0 then [list_min(h)] else h end)) from {hashes})"""
+
+
+OP13_SQL = f"""
+with t as (
+  select doc_id, coalesce(text, '') as body, coalesce(lead(coalesce(text, '')) over (order by doc_id, text), first(coalesce(text, '')) over (order by doc_id, text)) as after
+  from documents),
+e as (select *, length(body) - length(body) // 2 as stay, body[:length(body) - length(body) // 2] || after[:length(body) // 2] as edited from t),
+p as (select *, {_op13_print("body")} as a, {_op13_print("edited")} as b, {_op13_print("after")} as c from e),
+n as (select *, len(list_intersect(a, b)) as ab, len(list_intersect(a, c)) as ac from p)
+select doc_id, length(body)::bigint as n_chars, sha256(edited) as edited_sha256, array_to_string(a, ',') as fingerprint, array_to_string(b, ',') as edited_fingerprint,
+  case when len(a) + len(b) = 0 then 1.0::double else ab::double / (len(a) + len(b) - ab) end as near_edited,
+  case when len(a) + len(c) = 0 then 1.0::double else ac::double / (len(a) + len(c) - ac) end as near_next,
+  case when len(c) = 0 then 0.0::double else ac::double / len(c) end as next_in_doc,
+  case when len(a) = 0 then 0.0::double else ac::double / len(a) end as doc_in_next
+from n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -148,8 +206,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
+        "op11_clustering": op11_clustering,
+        "op12_whitening": op12_whitening,
+        "op13_fingerprints": op13_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_sharding": op4_sql(), "op10_line_dedup": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_sharding": op4_sql(), "op10_line_dedup": OP10_SQL, "op11_clustering": op11_sql(), "op13_fingerprints": OP13_SQL}
