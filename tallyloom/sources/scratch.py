@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for sessions that name none, by the application's id.
+_MADE: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset, a folder of this machine if all of Spark runs on it, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        named = _MADE.get(app) or _MADE.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tallyloom-"))
     return named.rstrip("/")
 
 

@@ -1,4 +1,7 @@
 import json
+import os
+import subprocess
+import sys
 
 from tallyloom.operators import graph, projection
 from tallyloom.plans import projections
@@ -103,3 +106,18 @@ def test_claims(spark):
     (r,) = projection.relations(log, spark.createDataFrame([(1, 0, 10)], "doc int, sent int, base int")).collect()
     assert (r.subject.start, r.verb.end, r.object.start) == (10, 13, 14)
     assert [r.seq for r in projection.equivalences(log).collect()] == [3]
+
+
+def test_scratch_folder_of_a_session_that_names_none(tmp_path):
+    """In a process of its own, with an empty configuration."""
+    code = """
+from tallyloom.session import build_session
+from tallyloom.sources.scratch import cut, scratch_dir
+spark = build_session("alone", 1)
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+assert sorted(r.id for r in cut(cut(spark.range(3))).collect()) == [0, 1, 2]
+assert scratch_dir(spark) == scratch_dir(spark.newSession()) and scratch_dir(spark).startswith("file:///")
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root, "TMPDIR": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, timeout=120)
