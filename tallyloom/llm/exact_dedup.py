@@ -1,8 +1,8 @@
 """Exact deduplication by progressive refinement.
 
 Two texts are equal when they are identical after every white-space character is deleted. Rows are
-grouped by the length of that normalised text and a hash of its prefix; both come from one pass over the texts, so the
-first two levels are one summed table, of which the lengths are the coarser sums. Only what is in a group of two
+grouped by the length of that normalised text and, within it, by a hash of its prefix; both come from one pass over the texts, so the
+first two levels are one summed table. Only what is in a group of two
 or more by both has its whole text hashed. A row that falls out on the way is unique and never takes part in a shuffle
 of full hashes.
 
@@ -53,10 +53,7 @@ def refine(df: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ())
     """One narrow row a document: __id, __points, __len, __prefix, __full (null: unique), and the carried columns."""
     signed = _signed(df, id_col, text_col, carry)
     pairs = signed.groupBy("__len", "__prefix").agg(F.count("*").alias("__n"))
-    lengths = pairs.groupBy("__len").agg(F.sum("__n").alias("__m")).filter("__m > 1")
-    survivors = cut(
-        pairs.filter("__n > 1").join(lengths, "__len", "left_semi").select("__len", "__prefix", F.lit(True).alias("__hit"))
-    )
+    survivors = cut(pairs.filter("__n > 1").select("__len", "__prefix", F.lit(True).alias("__hit")))
     whole = F.sha2("__norm", 256)
     if survivors.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         marked = signed.join(F.broadcast(survivors), ["__len", "__prefix"], "left")
@@ -96,26 +93,22 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of copies, the one with the most code points in the original text stays, then the smallest id. Rows
     that no other row shares length and prefix with pass straight through; the rest are reduced to one a group
-    by an aggregation that runs on each task before its shuffle, so a hot group moves one row a task.
+    by an aggregation that runs on each task before its shuffle, so a hot group moves one row a task. Null, empty and blank texts
+    are equal to each other; a row without an id loses every tie. Texts of any length are hashed whole, an empty table gives
+    no rows, and columns of the input pass whatever their names: a row travels as one value.
     """
-    names = df.columns
-    signed = (
-        df.withColumn("__text", text_or_empty(text_col))
-        .withColumn("__norm", squeeze_space(F.col("__text")))
-        .withColumn("__len", F.length("__norm"))
-        .withColumn("__prefix", F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS)))
-    )
+    signed = _signed(df.select(F.struct("*").alias("__row"), F.col(id_col).alias("__of"), text_or_empty(text_col).alias("__text")), "__of", "__text", ["__row"])
     pairs = signed.groupBy("__len", "__prefix").agg(F.count("*").alias("__n"))
     survivors = cut(pairs.filter("__n > 1").select("__len", "__prefix", F.lit(True).alias("__hit")))
     if survivors.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         marked = signed.join(F.broadcast(survivors), ["__len", "__prefix"], "left")
     else:
         marked = signed.withColumn("__hit", F.lit(True))
-    alone = marked.filter("__hit is null").select(*names)
-    order = _rank(F.length("__text"), id_col)
+    alone = marked.filter("__hit is null").select("__row.*")
+    order = _rank(F.col("__points"), "__id")
     kept = (
         marked.filter("__hit")
-        .select("__len", "__prefix", F.sha2("__norm", 256).alias("__full"), order.alias("__order"), F.struct(*names).alias("__row"))
+        .select("__len", "__prefix", F.sha2("__norm", 256).alias("__full"), order.alias("__order"), "__row")
         .groupBy("__len", "__prefix", "__full")
         .agg(F.min_by("__row", "__order").alias("__row"))
     )
