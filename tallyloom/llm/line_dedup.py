@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm._shared import text_or_empty
 from tallyloom.sources.scratch import cut
 
-#: Shorter lines (in code points) are dropped only as exact repeats: one edit makes another word or number of them.
-EDIT_CHARS = 16
+#: Shorter lines (in code points) are dropped only as exact repeats; by default one edit counts at any length.
+EDIT_CHARS = 0
 #: Parts of a line in which the edit may lie; the length up to which a part emits its variants.
 SEGMENTS, PART_CHARS = 8, 64
 #: Rows that may be broadcast, of at most about 40 bytes each.
@@ -153,8 +153,14 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
-    """The rows with their texts rid of repeated lines; null texts stay null."""
+    """The rows with their texts rid of repeated lines; null texts stay null.
+
+    Which lines go is as in repeated_lines, where ties, repeated ids, rows without one, blank and very long lines are described. An empty table
+    gives no rows, and columns of the input pass whatever their names.
+    """
     gone = cut(_dropped(df, id_col, text_col, edits))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    whole = df.join(gone, F.col(id_col).eqNullSafe(F.col("__doc")), "left")
-    return whole.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(*df.columns)
+    rows = df.select(F.struct("*").alias("__row"), F.col(id_col).alias("__of"), F.col(text_col).alias("__text"))
+    whole = rows.join(gone, F.col("__of").eqNullSafe(F.col("__doc")), "left")
+    kept = F.array_join(F.filter(F.split("__text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    fields = [F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept).alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in df.columns]
+    return whole.select(*fields)

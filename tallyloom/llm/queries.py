@@ -122,8 +122,8 @@ e as (select * from o where regexp_matches(line, '[^\x20\x09-\x0D]')),
 d as (select line, length(line) as n, min((doc_id, no)) as first from e group by line),
 c as (
   select a.line, a.n, b.line as other, b.n as m, coalesce(list_max(list_filter(generate_series(1, least(a.n, b.n)), lambda k: a.line[:k] = b.line[:k])), 0) as p
-  from d a join d b on a.n >= 16 and b.n >= 16 and abs(a.n - b.n) <= 1 and b.first < a.first
-    and (substr(a.line, 1, 4) = substr(b.line, 1, 4) or right(a.line, 4) = right(b.line, 4))),
+  from d a join d b on abs(a.n - b.n) <= 1 and b.first < a.first
+    and (least(a.n, b.n) < 16 or substr(a.line, 1, 4) = substr(b.line, 1, 4) or right(a.line, 4) = right(b.line, 4))),
 near as (
   select distinct line from c where case when n = m then substr(line, p + 2) = substr(other, p + 2)
     when n > m then substr(line, p + 2) = substr(other, p + 1) else substr(line, p + 1) = substr(other, p + 2) end),
