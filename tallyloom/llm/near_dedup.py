@@ -302,8 +302,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of documents that stay: one of each group, the one with the smallest id."""
-    gone = cut(near_groups(df, id_col, text_col, percent).filter("not kept").select(F.col(id_col).alias("__gone")))
+    """The rows of documents that stay: one of each group, the one with the smallest id.
+
+    Null, empty and blank texts are near to nothing and stay. Rows that repeat an id stay or go together; rows without an id stay.
+    Texts of any length are read whole, an empty table gives no rows, and columns of the input pass whatever their names.
+    """
+    gone = cut(near_groups(df, id_col, text_col, percent).filter("not kept").select(F.col(id_col).alias("id")))
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return df.alias("all").join(gone.alias("gone"), F.col(f"all.{id_col}") == F.col("gone.id"), "left_anti")

@@ -642,3 +642,27 @@ def test_queries_against_their_sql(spark):
         want = db.execute(sql)
         columns = [c[0] for c in want.description]
         assert sorted(map(tuple, found.select(columns).collect())) == sorted(want.fetchall()) and sorted(columns) == sorted(found.columns), name
+
+
+def test_dropping_forms_pass_columns_named_like_their_own(spark):
+    names = ["doc_id", "text", "__len", "__norm", "__prefix", "__gone", "__doc", "__row", "__id", "__hit", "gone", "id"]
+    rows = [(i, t, *range(100 * i, 100 * i + 10)) for i, t in enumerate(["same text here\nlast", "same text  here\nlast", "other\nlast", None])]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    for out, left in ((exact_dedup.drop_exact(df), [1, 2, 3]), (near_dedup.drop_near(df), [0, 2, 3]), (line_dedup.drop_lines(df), [0, 1, 2, 3])):
+        assert out.columns == names
+        got = {r.doc_id: tuple(r)[2:] for r in out.collect()}
+        assert got == {i: rows[i][2:] for i in left}
+
+
+def test_many_findings_in_one_text():
+    text = "\n".join(f"password = abcDEF123456{i:07d} key{i}XyzABCDEF99" for i in range(20_000))
+    base = secret_scan.base_findings(text)
+    others = secret_scan.other_candidates(text, base)
+    assert len(base) == 20_000 and len(others) == 20_000
+    few = text[:4000]
+    base = secret_scan.base_findings(few)
+    assert secret_scan.other_candidates(few, base) == [m.span() for m in secret_scan.RUN.finditer(few) if not any(a <= m.start() and m.end() <= b for a, b, _ in base)]
+
+
+def test_candidates_are_all_long_runs():
+    assert [a for a, _ in secret_scan.other_candidates("ABCDEFGHIJKLM abcdefghijklmn short ab+cd/ef=gh.i", [])] == [0, 14, 35]
