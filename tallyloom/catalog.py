@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import checks, corpora, ledgers, measurement, projections, readings, texts
+from tallyloom.plans import checks, corpora, ledgers, measurement, projections, readings, registers, texts
 
-_PLANS = [measurement, ledgers, texts, readings, projections, corpora, checks]
+_PLANS = [measurement, ledgers, texts, readings, projections, corpora, checks, registers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
