@@ -219,20 +219,23 @@ select token, count(*) as count from w where (regexp_matches(token, '(ed|s|t)$')
 
 
 def a25_frames(spark, sf_dir):
-    """Report verbs and source nouns before that, of all documents."""
-    verbs, nouns = company.frames(company.token_stream(_docs(spark, sf_dir), "text", "doc_id"), [], ["that"])
-    return verbs.withColumn("register", F.lit("report-verb")).unionByName(nouns.withColumn("register", F.lit("source-noun")))
+    """Verbs of speech, markers, report verbs and source nouns of all documents, each learned from the one before; quotes are put in for the first."""
+    quoted = F.regexp_replace(F.regexp_replace("text", ", ", ', "'), r"\. ([A-Z])", '." $1')
+    return company.attribution_frames(_docs(spark, sf_dir).select("text", quoted.alias("quoted")), "text", "quoted")
 
 
 _DET = "('the','a','an','this','that','these','those','his','her','its','their','our','my','your','one','another','some','any','each','every','no')"
 A25 = rf"""
-with t as (select doc_id, regexp_extract_all(lower(text), '([a-z][a-z''’-]*)', 1) a from documents),
+with sv as ({A24}),
+t as (select doc_id, regexp_extract_all(lower(text), '([a-z][a-z''’-]*)', 1) a from documents),
 u as (select doc_id, unnest(generate_series(1, len(a))) i, unnest(a) w from t),
 x as (select *, lead(w) over q nx, lag(w, 1) over q b1, lag(w, 2) over q b2, lag(w, 3) over q b3, lag(w, 4) over q b4 from u window q as (partition by doc_id order by i)),
-m as (select * from x where nx = 'that' and b1 is not null),
-v as (select w token, count(*) c from m where length(w) >= 3 and w <> 'that' and b1 not in {_DET} group by 1),
-n as (select b1 token, count(*) c from m where w in (select token from v) and length(b1) >= 3 and b1 not in {_DET} and (coalesce(b2 in {_DET}, false) or coalesce(b3 in {_DET}, false) or coalesce(b4 in {_DET}, false)) group by 1)
-select token, c as count, 'report-verb' as register from v union all select token, c, 'source-noun' from n"""
+mk as (select nx token, count(*) c from x where w in (select token from sv) and length(nx) <= 5 group by 1 having count(*) >= 2),
+mm as (select * from mk union all select 'that', 0 where not exists (from mk)),
+m as (select * from x where nx in (select token from mm) and b1 is not null),
+v as (select w token, count(*) c from m where length(w) >= 3 and w not in (select token from mm) and b1 not in {_DET} group by 1),
+n as (select b1 token, count(*) c from m where w in (select token from v union all select token from sv) and length(b1) >= 3 and b1 not in {_DET} and (coalesce(b2 in {_DET}, false) or coalesce(b3 in {_DET}, false) or coalesce(b4 in {_DET}, false)) group by 1)
+select 'attribution-verb' as register, token, count from sv union all select 'marker', token, c from mm union all select 'report-verb', token, c from v union all select 'source-noun', token, c from n"""
 
 
 def a26_calendar(spark, sf_dir):
@@ -286,8 +289,8 @@ def t04_knn(spark, sf_dir):
 
 
 _KNN = f"""{_TOK}, fm as (select token from fr order by freq desc, token limit {FRAME}), po as (select token, freq from fr where freq >= {LEAST} order by freq desc, token limit {POOL}),
-vc as (select token, side || other coord, c / sqrt(sum(c*c) over (partition by token)) x from nb where other in (select token from fm) and token in (select token from po)),
-si as (select p.token a, q.token b, round(sum(p.x*q.x), 9) sim from vc p join vc q on p.coord = q.coord and p.token <> q.token group by 1, 2),
+vc as materialized (select token, side || other coord, c, (sum(c*c) over (partition by token))::bigint s from nb where other in (select token from fm) and token in (select token from po)),
+si as materialized (select p.token a, q.token b, sum(p.c*q.c)::double / (sqrt(p.s::double) * sqrt(q.s::double)) sim from vc p join vc q on p.coord = q.coord and p.token <> q.token group by p.token, q.token, p.s, q.s),
 kn as materialized (select * from (select *, row_number() over (partition by a order by sim desc, b) r from si where sim > 0) where r <= {NEAREST})"""
 T04 = f"with {_KNN} select a, b, round(sim, 6) as sim from kn"
 
@@ -296,7 +299,8 @@ def j17_mutual(spark, sf_dir):
     return company.mutual(_nearest(spark, sf_dir)[1], ALIKE)
 
 
-J17 = f"with {_KNN} select x.a, x.b from kn x join kn y on x.a = y.b and x.b = y.a where x.a < x.b and x.sim >= {ALIKE} and y.sim >= {ALIKE}"
+J17 = f"""with {_KNN}
+select a, b from (select least(a, b) a, greatest(a, b) b from kn where sim >= {ALIKE}) group by 1, 2 having count(*) = 2"""
 
 
 def g11_slots(spark, sf_dir):
@@ -309,6 +313,13 @@ rc as (select token, token root from po union select mu.b, rc.root from rc join
 rt as (select token, min(root) root from rc group by 1)
 select token, count(*) over (partition by root) as size from rt"""
 
+
+
+def g12_rungs(spark, sf_dir):
+    """Slots of all documents' words, slots of what these make, and so on until a rung joins nothing."""
+    return company.rungs(company.token_stream(_docs(spark, sf_dir), "text", "doc_id"), frame_size=FRAME, pool_size=POOL, least=LEAST, k=NEAREST, floor=ALIKE, most=4)
+
+
 QUERIES = {
     "f23_strip_frame": (f23_strip_frame, F23),
     "f24_paragraphs": (f24_paragraphs, F24),
@@ -336,4 +347,5 @@ QUERIES = {
     "t04_knn": (t04_knn, T04),
     "j17_mutual": (j17_mutual, J17),
     "g11_slots": (g11_slots, G11),
+    "g12_rungs": (g12_rungs, None),
 }
