@@ -29,6 +29,21 @@ def inherit(entries: DataFrame) -> DataFrame:
     )
 
 
+def sediment(induced: DataFrame, shelf: str) -> DataFrame:
+    """Induced registers (register, token, weight) as entries with the shelf that taught them; they have the support of a prior, as seeds do."""
+    entry = induced.select(F.col("register").alias("kind"), norm_token(F.col("token")).alias("token"), F.lit("prior").alias("origin"), F.lit(0).cast("long").alias("weight"))
+    held = entry.distinct().withColumns({"support": F.lit(PRIOR_SUPPORT).cast("long"), "strain": F.lit(0).cast("long"), "defeated": F.lit(False)})
+    return held.withColumn("shelf", F.lit(shelf))
+
+
+def overlay(seeds: DataFrame, learned: DataFrame) -> DataFrame:
+    """Seed entries with each register that sediment has replaced by it; registers that only seeds have stay, those that only sediment has don't
+    come in, as no question was seeded for them. Entries of seeds have no shelf."""
+    kinds = F.broadcast(learned.select("kind").distinct())  # as many rows as there are registers
+    kept = seeds.join(kinds, "kind", "left_anti").withColumn("shelf", F.lit(None).cast("string"))
+    return kept.unionByName(learned.join(F.broadcast(seeds.select("kind").distinct()), "kind", "left_semi"))
+
+
 def corpus_relations(verbs: DataFrame, least: int = 4, cap: int = 50) -> DataFrame:
     """Relation verbs (via, count) of a corpus as entries, their support the count up to a cap."""
     kept = verbs.filter(F.col("via").isNotNull() & (F.col("via") != "") & (F.col("count") >= least))
@@ -130,6 +145,26 @@ def answers(tokens: DataFrame, entries: DataFrame, question: str) -> DataFrame:
     return tokens.withColumn("__t", norm_token(F.col("token"))).join(held(entries, QUESTIONS[question]).withColumnRenamed("token", "__t"), "__t", "left_semi").drop("__t")
 
 
+def all_answers(tokens: DataFrame, entries: DataFrame) -> DataFrame:
+    """(question, token) of all questions that the entries answer with yes, of (token). Tokens are looked up as they are normalised, once each;
+    null and empty ones have no answers."""
+    asked = [(q, k) for q, kinds in QUESTIONS.items() for k in kinds]
+    by_kind = F.broadcast(tokens.sparkSession.createDataFrame(asked, "question string, kind string"))
+    yes = entries.filter(~F.col("defeated")).join(by_kind, "kind").select("question", "token").distinct()
+    return tokens.select(norm_token(F.col("token")).alias("token")).distinct().join(yes, "token").select("question", "token")
+
+
+def irregular_past(verbs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds past (the irregular past of a base form, else null) and is_past (whether the word is some verb's irregular past) to (token).
+
+    pairs: (base, past) of the language; of a base with several the first counts. Tokens are looked up as they are normalised.
+    """
+    first = pairs.groupBy(F.col("base").alias("__t")).agg(F.min("past").alias("past"))
+    pasts = pairs.select(F.col("past").alias("__t")).distinct().withColumn("__is", F.lit(True))
+    met = verbs.withColumn("__t", norm_token(F.col("token"))).join(first, "__t", "left").join(pasts, "__t", "left")
+    return met.withColumn("is_past", F.coalesce("__is", F.lit(False))).drop("__t", "__is")
+
+
 def exported(entries: DataFrame) -> Column:
     """An entry as a line of JSON."""
     return F.to_json(F.struct(F.when(F.col("origin") == "learned", "REC").otherwise("DEF").alias("op"), "kind", "token", "weight", F.when(F.col("defeated"), True).alias("defeated")))

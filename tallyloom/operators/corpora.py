@@ -11,11 +11,35 @@ from tallyloom.operators.conventions import held
 #: Spans that open a book and are skipped.
 OPENING = 15
 
-# The shorter registers that every reader starts with.
+# The registers that every reader starts with. Function words hold the prepositions too. The long list of words that open a
+# clause is no constant here: it is induced (literacy) or given.
+PREPOSITIONS = """of in on at to from by with into onto upon over under through after before between among against about as
+    unto toward towards for near beside within without beyond beneath above below behind around past""".split()
 REGISTERS = {
+    "attribution-verb": """said says say asked asks replied replies told tells cried cries shouted whispered muttered answered answers
+        called calls exclaimed declared added continued thought thinks wondered murmured repeated insisted remarked
+        observed screamed begged urged warned promised admitted confessed announced wrote writes""".split(),
+    "abbreviation": """mr mrs ms dr st mt messrs mme mlle prof rev hon capt col gen sgt lt cmdr sr jr esq co inc ltd no vol pp rd ave fig
+        vs etc al eg ie cf viz jan feb mar apr jun jul aug sep sept oct nov dec""".split(),
     "copula": "is am are was were be been being".split(),
-    "preposition": """of in on at to from by with into onto upon over under through after before between among against about as
-        unto toward towards for near beside within without beyond beneath above below behind around past""".split(),
+    "modifier": """then now also just once soon suddenly slowly quietly gently again still only even simply quickly immediately
+        finally however never always often already almost nearly merely truly indeed perhaps really quite rather very
+        much more most less so too such thus hence
+        had has have having would could will shall should did does do not must might may can""".split(),
+    "preposition": PREPOSITIONS,
+    "function": """a an the this that these those and or but nor so yet
+        he she it they we i you him them us me thee thou ye who whom whose which what his her its their
+        our my your thy thine mine hers ours yours there then now here very not also thus lo behold
+        yea nay verily when where why how if because while though although until unless whether else ever never""".split()
+    + PREPOSITIONS
+    + """is am are was were be been being have has had do does did
+        shall will would should could may might must can hath hast doth dost art wast wilt shalt""".split(),
+    "demonym": """russian french american german english british irish scottish welsh italian spanish portuguese dutch belgian
+        swiss austrian greek turkish polish czech hungarian romanian bulgarian serbian croatian ukrainian swedish
+        norwegian danish finnish icelandic chinese japanese korean vietnamese thai indian pakistani persian iranian iraqi
+        israeli arab arabic egyptian moroccan nigerian kenyan ethiopian mexican canadian brazilian argentine argentinian
+        chilean peruvian colombian cuban australian european asian african jewish hispanic latino latina slavic nordic
+        baltic anglo saxon""".split(),
     "calendar": """monday tuesday wednesday thursday friday saturday sunday january february september october november december
         feb sep sept oct nov dec""".split(),
 }

@@ -5,8 +5,14 @@ A measurement is two arrays in cube order, so that measuring is a projection: no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tallyloom.functions.cube import CELLS
 from tallyloom.functions.numeric import PPM, clamp_ppm, entropy_micro, entropy_term, half_up, once
@@ -63,10 +69,41 @@ def add_shares(df: DataFrame, weights: Column, out: str) -> DataFrame:
     return once(held, **{out: F.when(F.col("__t") > 0, full).otherwise(F.array_repeat(F.lit(0).cast("long"), F.col("__k")))}).drop("__p", "__t", "__k", "__r")
 
 
+def _ppm(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity_ppm, amplitude_ppm) of rows of cosines: clamp_ppm and add_shares for whole batches."""
+    similar = np.clip(np.floor(scores * PPM + 0.5), -PPM, PPM).astype(np.int64)
+    weights = np.maximum(scores, 0.0)
+    total = np.cumsum(weights, 1)[:, -1:]
+    shares = np.floor(weights[:, :-1] / np.where(total > 0, total, 1.0) * PPM + 0.5).astype(np.int64)
+    amplitude = np.concatenate([shares, np.maximum(0, PPM - shares.sum(1, keepdims=True))], 1)
+    return similar, np.where(total > 0, amplitude, 0)
+
+
 def measure_vectors(df: DataFrame, table: DataFrame, vector_col: str) -> DataFrame:
-    """Adds similarity_ppm and amplitude_ppm, arrays in cube order; negative cosines count as no amplitude."""
-    scored = once(cosines(df, table, vector_col).withColumn("__c", F.col("cosines")), similarity_ppm=F.transform("__c", clamp_ppm)).drop("__c")
-    return add_shares(scored, F.transform("cosines", lambda c: F.greatest(c, F.lit(0.0))), "amplitude_ppm")
+    """Adds cosines, similarity_ppm and amplitude_ppm, arrays in cube order; negative cosines count as no amplitude.
+
+    The 27 centroids are read to the driver and go to the tasks, where a batch of vectors is one product of matrices. A vector that is null, of
+    another length than the centroids, or that holds a null or a number that isn't finite, is like none of them: cosines of 0.
+    """
+    cents = np.array(table.first()["centroids"], np.float64)
+    dims, norms = cents.shape[1], np.sqrt((cents * cents).sum(1))
+    out = StructType([*df.schema.fields, StructField("cosines", ArrayType(DoubleType())), StructField("similarity_ppm", ArrayType(LongType())), StructField("amplitude_ppm", ArrayType(LongType()))])
+    at = df.columns.index(vector_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            fits = np.array(pc.fill_null(pc.equal(pc.list_value_length(column), dims), False))
+            vectors = np.zeros((batch.num_rows, dims))
+            vectors[fits] = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            vectors[~np.isfinite(vectors).all(1)] = 0.0
+            both = np.sqrt((vectors * vectors).sum(1))[:, None] * norms
+            scores = np.where(both > 0, vectors @ cents.T / np.where(both > 0, both, 1.0), 0.0)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(cents))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in (scores, *_ppm(scores))]
+            yield pa.record_batch([*batch.columns, *lists], [*batch.schema.names, "cosines", "similarity_ppm", "amplitude_ppm"])
+
+    return df.mapInArrow(run, out)
 
 
 def entropy_microbits(amplitudes: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import cube
-from tallyloom.operators import checks, folds, measure
+from tallyloom.functions import cube, schema
+from tallyloom.operators import checks, folds, ledger, measure
 from tallyloom.plans import ledgers, readings
 from tallyloom.session import table
 
@@ -152,7 +152,39 @@ def a10_spread(spark, sf_dir):
 A10 = "select user_id, count(value) as n, round(coalesce(avg(value), 0), 6) as mean, round(case when count(value) < 2 then 0 else stddev_pop(value) end, 6) as stddev from events group by 1"
 
 
+
+
+def p05_schema(spark, sf_dir):
+    """Events as envelopes with planted faults, and every rule of the schema that each violates."""
+    i = F.col("event_id")
+    digest = F.concat(F.lit("sha256:"), F.sha2(i.cast("string"), 256))
+    hexes = F.sha2(F.col("user_id").cast("string"), 256)
+    uuid = F.concat_ws("-", F.concat(F.lit("uuid:"), F.substring(hexes, 1, 8)), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
+    kind = F.when(i % 3 == 0, "event.retracted").when(i % 7 == 0, "no.such").otherwise("observation.flagged")
+    retracted = F.concat(F.lit('{"retracted_event_id":"'), F.when(i % 4 == 0, "x").otherwise(digest), F.lit('","reason":"'), F.when(i % 10 == 0, "").otherwise("r"), F.lit('"}'))
+    flagged = F.concat(F.lit('{"observation_id":"observation:'), digest, F.lit('","flagged_by":"human","reason":"r","weight_ppm":'), F.when(i % 5 == 0, "-1").when(i % 11 == 0, "0.5").otherwise("1000000"), F.lit("}"))
+    head = F.concat(F.lit('{"spec_version":'), F.when(i % 13 == 0, "1").otherwise('"1.0.0"'), F.lit(',"event_type":"'), kind, F.lit('","event_id":"'), digest, F.lit(f'","occurred_at":"{AT}",'))
+    actor = F.when(i % 17 == 0, "").otherwise('"actor":{"type":"agent","id":"a","version":"1"},')
+    run = F.concat(F.lit('"run":{"run_id":"'), F.when(i % 19 == 0, "r").otherwise(uuid), F.lit('","batch_id":"'), uuid, F.lit('","configuration_hash":"'), digest, F.lit('"},"inputs":["'), digest, F.when(i % 23 == 0, '","y').otherwise(""), F.lit('"],'))
+    event = F.concat(head, actor, run, F.when(i % 29 == 0, '"ledger_position":1,').otherwise(""), F.lit('"payload":'), F.when(i % 3 == 0, retracted).otherwise(flagged), F.when(i % 31 == 0, "").otherwise("}"))
+    found = schema.violations(F.try_parse_json(event), schema.event_schema(ledger.WRITABLE + ledger.PROJECTED))
+    return table(spark, sf_dir, "events").select("event_id", F.posexplode(found).alias("ord", "violation"))
+
+
+P05 = """
+with r as (
+  select event_id, event_id % 31 = 0 as broken, [case when event_id % 17 = 0 then '$.actor: required' end, case when event_id % 13 = 0 then '$.spec_version: type' end,
+    case when event_id % 3 <> 0 and event_id % 7 = 0 then '$.event_type: enum' end, case when event_id % 19 = 0 then '$.run.run_id: pattern' end,
+    case when event_id % 23 = 0 then '$.inputs[1]: pattern' end,
+    case when event_id % 3 = 0 and event_id % 4 = 0 then '$.payload.retracted_event_id: pattern' end, case when event_id % 3 = 0 and event_id % 10 = 0 then '$.payload.reason: minLength' end,
+    case when event_id % 3 <> 0 and event_id % 7 <> 0 and event_id % 5 = 0 then '$.payload.weight_ppm: minimum' end,
+    case when event_id % 3 <> 0 and event_id % 7 <> 0 and event_id % 5 <> 0 and event_id % 11 = 0 then '$.payload.weight_ppm: type' end,
+    case when event_id % 29 = 0 then '$: not' end] as v from events),
+f as (select event_id, case when broken then ['$: json'] else list_filter(v, lambda x: x is not null) end as v from r)
+select event_id, (generate_subscripts(v, 1) - 1)::int as ord, unnest(v) as violation from f"""
+
 QUERIES = {
+    "p05_schema": (p05_schema, P05),
     "p06_rejections": (p06_rejections, P06),
     "p09_scope": (p09_scope, P09),
     "f50_lenses": (f50_lenses, F50),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import literacy
+from tallyloom.operators import conventions, corpora, literacy
 from tallyloom.session import table
+from tallyloom.sources.scratch import cut
 
 
 def _dialogue(spark, sf_dir):
@@ -80,8 +81,53 @@ union all select 'abbreviation', token, n_dot from b where n_dot >= 3 and length
 union all select 'modifier', token, weight from mod"""
 K12 = f"with {_WORDS}, {_FRAMES}, {_REGISTERS}"
 
+
+
+def k02_sediment(spark, sf_dir):
+    """What every word of the documents is to a reader with the seeds, and to one whose registers the documents taught."""
+    words = literacy.profile(literacy.sentence_words(_dialogue(spark, sf_dir), "text"))
+    seeds = conventions.seed(spark, corpora.REGISTERS)
+    learned = conventions.sediment(literacy.induce_literacy(_dialogue(spark, sf_dir), "text"), "documents")
+    words = cut(words.select("token"))
+    before, after = conventions.all_answers(words, seeds), conventions.all_answers(words, conventions.overlay(seeds, learned))
+    met = before.withColumn("before", F.lit(True)).join(after.withColumn("after", F.lit(True)), ["question", "token"], "full")
+    return met.select("question", "token", F.coalesce("before", F.lit(False)).alias("before"), F.coalesce("after", F.lit(False)).alias("after"))
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("('%s', '%s')" % row for row in rows)
+
+
+K02 = f"""
+with learned as ({K12}),
+seeds(kind, token) as (values {_values([(k, t) for k, ts in corpora.REGISTERS.items() for t in dict.fromkeys(ts)])}),
+asks(question, kind) as (values {_values([(q, k) for q, ks in conventions.QUESTIONS.items() for k in ks])}),
+{_WORDS},
+words as (select distinct regexp_replace(token, '\.$', '') token from p),
+new as (select register as kind, token from learned where register in (select kind from seeds) union select * from seeds where kind not in (select register from learned)),
+a as (select distinct question, w.token from words w join seeds e on w.token = e.token join asks q on q.kind = e.kind),
+b as (select distinct question, w.token from words w join new e on w.token = e.token join asks q on q.kind = e.kind)
+select coalesce(a.question, b.question) as question, coalesce(a.token, b.token) as token, a.token is not null as before, b.token is not null as after
+from a full join b on a.question = b.question and a.token = b.token"""
+
+
+def f44_irregular(spark, sf_dir):
+    """Which words of the documents have an irregular past, and which are one; the pairs are words of the same beginning that differ in one vowel."""
+    words = cut(literacy.profile(literacy.sentence_words(_dialogue(spark, sf_dir), "text")).select("token"))
+    swapped = words.filter(F.col("token").rlike("^[a-z]*i[a-z]*$")).select(F.col("token").alias("base"), F.replace("token", F.lit("i"), F.lit("a")).alias("past"))
+    pairs = swapped.join(words.select(F.col("token").alias("past")), "past", "left_semi")
+    return conventions.irregular_past(words, pairs).filter("past is not null or is_past")
+
+
+F44 = f"""with {_WORDS},
+w as (select distinct regexp_replace(token, '\.$', '') token from p),
+i as (select token base, replace(token, 'i', 'a') past from p where regexp_matches(token, '^[a-z]*i[a-z]*$') and replace(token, 'i', 'a') in (select token from p))
+select p.token, (select min(past) from i where base = p.token) as past, p.token in (select past from i) as is_past from p where p.token in (select base from i union select past from i)"""
+
 QUERIES = {
     "a22_profile": (a22_profile, A22P),
     "a23_frames": (a23_frames, A23),
     "k12_literacy": (k12_literacy, K12),
+    "k02_sediment": (k02_sediment, K02),
+    "f44_irregular": (f44_irregular, F44),
 }

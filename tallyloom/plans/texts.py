@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as rules
 from tallyloom.operators import company
 from tallyloom.session import table
+from tallyloom.sources import ledger_io
 from tallyloom.sources.scratch import cut
 
 
@@ -158,6 +159,20 @@ def s10_consolidate(spark, sf_dir):
 S10 = r"select regexp_replace(source || '/' || lang || '\' || doc_id || '.txt', '[\\/]', '__', 'g') as name, length(text)::bigint as chars from documents where length(text) >= 200 and source not in ('src3', 'src7')"
 
 
+def s11_flatten(spark, sf_dir):
+    """The lines of each document as JSON, once in an array and once as many deep in arrays as the id's last digit says, out and in order again."""
+    lines = F.to_json(F.split("text", "\n"))
+    deep = (F.col("doc_id") % 10).cast("int")
+    wrapped = F.concat(F.lit("["), lines, F.lit(","), F.repeat(F.lit("["), deep), lines, F.repeat(F.lit("]"), deep), F.lit("]"))
+    found = ledger_io.joined_strings(_docs(spark, sf_dir).select("doc_id", wrapped.alias("j")), "doc_id", "j")
+    return found.select("doc_id", F.size(F.split("text", "\n")).alias("n"), F.sha2("text", 256).alias("sha256"))
+
+
+S11 = r"""
+with t as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') a from documents)
+select doc_id, (2 * len(a))::int as n, sha256(array_to_string(a || a, chr(10))) as sha256 from t where len(a) > 0"""
+
+
 def s13_codons(spark, sf_dir):
     """Documents as FASTA: all but the letters a, c, g and t is dropped first; counted by codon for the three frames."""
     fasta = F.concat(F.lit(">seq\n"), F.regexp_replace(F.lower("text"), "[^acgt]", ""))
@@ -335,6 +350,7 @@ QUERIES = {
     "t11_budget": (t11_budget, T11),
     "p14_every_kth": (p14_every_kth, P14),
     "s10_consolidate": (s10_consolidate, S10),
+    "s11_flatten": (s11_flatten, S11),
     "s13_codons": (s13_codons, S13),
     "f33_reader_major": (f33_reader_major, F33),
     "f47_small_rules": (f47_small_rules, F47),

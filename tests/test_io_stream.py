@@ -40,7 +40,12 @@ def test_texts_and_nested_strings(spark, tmp_path):
     (tmp_path / "sub" / "c.txt").write_text("C")
     assert [tuple(r) for r in ledger_io.read_texts(spark, str(tmp_path)).collect()] == [("b.txt", "B\n1")]
     df = spark.createDataFrame([('[["a"," "],["b"]]',), ('["c"]',)], "j string")
-    assert [list(r[0]) for r in df.select(ledger_io.nested_strings(df.j)).collect()] == [["a", "b"], ["c"]]
+    assert [r.text for r in ledger_io.joined_strings(df, "j", "j").orderBy("text").collect()] == ["a\nb", "c"]
+    deep = "[" * 10 + '"x", "y"' + "]" * 5 + ', "z"' + "]" * 5
+    rows = [(1, deep), (2, '["a", 1, null, {"b": "no"}, [], [["b"], " "], true, "c"]'), (3, '"one"'), (4, None), (5, "[broken"), (6, "[]"), (None, '["n"]')]
+    got = ledger_io.joined_strings(spark.createDataFrame(rows, "id int, j string"), "id", "j").collect()
+    assert {r.id: r.text for r in got} == {1: "x\ny\nz", 2: "a\nb\nc", 3: "one", None: "n"}
+    assert ledger_io.nested_strings(spark.createDataFrame([], "id int, j string"), "id", "j").collect() == []
 
 
 def test_binary_files(spark, tmp_path):
