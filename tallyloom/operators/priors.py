@@ -83,10 +83,38 @@ def gap(pairs: DataFrame, labels: DataFrame, *by: str) -> DataFrame:
     return (met.groupBy(*by) if by else met.groupBy()).agg((mean(same) - mean(~same)).alias("gap"))
 
 
+def standardised(mass: DataFrame, *keys: str, value: str = "mass") -> DataFrame:
+    """(keys, z): each group's values over the cells, centred and made to length 1, zeros for a constant one; the product of two groups' z
+    is their correlation."""
+    cells = F.sort_array(F.collect_list(F.struct("cell", F.col(value).alias("x"))))
+    held = mass.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), cells.alias("cells"))
+    spread = F.col("q") - F.col("s") * F.col("s") / F.col("n")
+    flat = (F.col("n") < 2) | (spread <= 1e-15)
+    length = F.sqrt(F.when(flat, F.lit(1.0)).otherwise(spread))
+    return held.select(*keys, F.transform("cells", lambda c: F.when(flat, F.lit(0.0)).otherwise((c.x - F.col("mean")) / length)).alias("z"))
+
+
+def label_gaps(standard: DataFrame, labels: DataFrame, key: str, *by: str) -> DataFrame:
+    """(by, gap): mean correlation of pairs of groups with one label minus that of pairs with two; 0 for a side without pairs.
+
+    standard: (key, z and perhaps columns of by); labels: (key, label and perhaps columns of by). No pairs are made: the products of
+    all pairs of a label are half of what the square of its sum is above the sum of its squares.
+    """
+    each = standard.join(labels, key).select(*by, "label", F.posexplode("z").alias("cell", "z"))
+    sums = each.groupBy(*by, "label", "cell").agg(F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"), F.count("*").alias("c"))
+    pairs = lambda n: n * (n - 1) / 2
+    cells = sums.groupBy(*by, "cell").agg(
+        F.sum(F.col("s") * F.col("s")).alias("same"), F.pow(F.sum("s"), 2).alias("whole"), F.sum("q").alias("q"), F.sum(pairs(F.col("c"))).alias("n_same"), pairs(F.sum("c")).alias("n_all")
+    )
+    held = (cells.groupBy(*by) if by else cells.groupBy()).agg(*[F.sum(c).alias(c) for c in ("same", "whole", "q")], F.max("n_same").alias("n_same"), F.max("n_all").alias("n_all"))
+    same, whole = (F.col("same") - F.col("q")) / 2, (F.col("whole") - F.col("q")) / 2
+    mean = lambda total, n: F.coalesce(F.try_divide(total, n), F.lit(0.0))
+    return held.select(*by, (mean(same, F.col("n_same")) - mean(whole - same, F.col("n_all") - F.col("n_same"))).alias("gap"))
+
+
 def shuffled_labels(labels: DataFrame, rounds: int) -> DataFrame:
     """(perm, book, label): in each round the labels are dealt anew, in the order of an MD5 of round and book."""
-    rounds_df = labels.sparkSession.range(1, rounds + 1).select(F.col("id").cast("int").alias("perm"))
-    by_book = labels.crossJoin(F.broadcast(rounds_df))
+    by_book = labels.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("perm"))
     place = F.row_number().over(Window.partitionBy("perm").orderBy("book"))
     dealt = F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", F.col("perm").cast("string"), F.col("book").cast("string"))), "book"))
     seats = by_book.select("perm", "book", place.alias("i"))
@@ -94,10 +122,11 @@ def shuffled_labels(labels: DataFrame, rounds: int) -> DataFrame:
     return seats.join(given, ["perm", "i"]).select("perm", "book", "label")
 
 
-def permutation_p(observed: DataFrame, shuffled: DataFrame, rounds: int) -> DataFrame:
-    """(gap, at_least, p_value) with p = (rounds that reach the observed gap + 1) / (rounds + 1)."""
-    met = shuffled.select(F.col("gap").alias("g")).crossJoin(F.broadcast(observed))
-    return met.groupBy("gap").agg(F.sum(F.when(F.col("g") >= F.col("gap") - 1e-12, 1).otherwise(0)).alias("at_least")).withColumn("p_value", (F.col("at_least") + 1) / F.lit(rounds + 1))
+def permutation_p(observed: DataFrame, shuffled: DataFrame, rounds: int, *by: str) -> DataFrame:
+    """(by, gap, at_least, p_value) with p = (rounds that reach the observed gap + 1) / (rounds + 1)."""
+    rounds_of = shuffled.select(*by, F.col("gap").alias("g"))
+    met = rounds_of.join(F.broadcast(observed), list(by)) if by else rounds_of.crossJoin(F.broadcast(observed))  # one row, or one for each of a few channels
+    return met.groupBy(*by, "gap").agg(F.sum(F.when(F.col("g") >= F.col("gap") - 1e-12, 1).otherwise(0)).alias("at_least")).withColumn("p_value", (F.col("at_least") + 1) / F.lit(rounds + 1))
 
 
 def nearest_prior(mass: DataFrame, pairs: DataFrame, key: str, ks: Sequence[int]) -> DataFrame:

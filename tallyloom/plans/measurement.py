@@ -12,6 +12,7 @@ from tallyloom.functions import cube
 from tallyloom.functions.numeric import PPM, settled
 from tallyloom.operators import emergence, measure, priors
 from tallyloom.session import table
+from tallyloom.sources.scratch import cut
 
 DIMS, PERMUTATIONS, FOLDS = 64, 2000, 4
 
@@ -255,17 +256,17 @@ def _labels(spark, sf_dir):
 
 
 def a11_gap(spark, sf_dir):
-    pairs = priors.correlations(priors.accumulate(spans(spark, sf_dir), "book"), "book")
-    return priors.gap(pairs, _labels(spark, sf_dir)).select(settled(F.col("gap")).alias("gap"))
+    standard = priors.standardised(priors.accumulate(spans(spark, sf_dir), "book"), "book")
+    return priors.label_gaps(standard, _labels(spark, sf_dir), "book").select(settled(F.col("gap")).alias("gap"))
 
 
 A11 = BASE + "," + CORR + " select round(coalesce(avg(corr) filter (a % 3 = b % 3), 0) - coalesce(avg(corr) filter (a % 3 <> b % 3), 0), 6) + 0.0 as gap from corr"
 
 
 def a12_permutation(spark, sf_dir):
-    pairs = priors.correlations(priors.accumulate(spans(spark, sf_dir), "book"), "book").cache()
+    standard = cut(priors.standardised(priors.accumulate(spans(spark, sf_dir), "book"), "book"))
     labels = _labels(spark, sf_dir)
-    found = priors.permutation_p(priors.gap(pairs, labels), priors.gap(pairs, priors.shuffled_labels(labels, PERMUTATIONS), "perm"), PERMUTATIONS)
+    found = priors.permutation_p(priors.label_gaps(standard, labels, "book"), priors.label_gaps(standard, priors.shuffled_labels(labels, PERMUTATIONS), "book", "perm"), PERMUTATIONS)
     return found.select(settled(F.col("gap")).alias("gap"), F.col("at_least").cast("long").alias("at_least"), settled(F.col("p_value")).alias("p_value"))
 
 
@@ -277,6 +278,41 @@ ob as (select coalesce(avg(corr) filter (a % 3 = b % 3), 0) - coalesce(avg(corr)
 pg as (select x.perm, coalesce(avg(corr) filter (x.label = y.label), 0) - coalesce(avg(corr) filter (x.label <> y.label), 0) g from corr join sh x on x.book = a join sh y on y.book = b and x.perm = y.perm group by 1)
 select round(gap, 6) + 0.0 as gap, cast(sum(case when g >= gap - 1e-12 then 1 else 0 end) as bigint) as at_least, round((sum(case when g >= gap - 1e-12 then 1 else 0 end) + 1)/{PERMUTATIONS + 1}.0::double, 6) + 0.0 as p_value from pg, ob group by gap"""
 
+#: Cells that the structural channel fills without regard to the text; one channel leaves them out.
+FILLED = ("EVA_Binding_Lens", "REC_Making_Lens")
+
+
+def x11_channels(spark, sf_dir):
+    """The gap between labels in three channels, under one set of permutations: all cells, those that structure doesn't fill, and structure alone (the
+    strongest cell of each span)."""
+    s = cut(spans(spark, sf_dir))
+    left = [c[0] for c in cube.CELLS if c[1] not in FILLED]
+    matched = priors.restrict(s, F.col("cell").isin(left), len(left))
+    top = F.row_number().over(Window.partitionBy("book", "pos").orderBy(F.desc("p"), "cell"))
+    strongest = s.withColumn("p", F.when(top == 1, 1.0).otherwise(0.0))
+    named = [priors.accumulate(df, "book").withColumn("channel", F.lit(name)) for name, df in (("content", s), ("content, matched", matched), ("structure", strongest))]
+    standard = cut(priors.standardised(named[0].unionByName(named[1]).unionByName(named[2]), "channel", "book"))
+    labels = _labels(spark, sf_dir)
+    dealt = priors.shuffled_labels(labels, PERMUTATIONS)
+    found = priors.permutation_p(priors.label_gaps(standard, labels, "book", "channel"), priors.label_gaps(standard, dealt, "book", "channel", "perm"), PERMUTATIONS, "channel")
+    return found.select("channel", settled(F.col("gap")).alias("gap"), F.col("at_least").cast("long").alias("at_least"), settled(F.col("p_value")).alias("p_value"))
+
+
+X11 = BASE + f""", lf as (select book, pos, cell, p, sum(p) over (partition by book, pos) t from sp where cell not in ({", ".join(str(c[0]) for c in cube.CELLS if c[1] in FILLED)})),
+ch as (select 'content' as channel, book, cell, mass from mass
+  union all select 'content, matched', book, cell, sum(case when t > 0 then p / t else 1.0 / {27 - len(FILLED)} end) from lf group by book, cell
+  union all select 'structure', book, cell, sum(case when r = 1 then 1.0 else 0.0 end)::double from (select book, cell, row_number() over (partition by book, pos order by p desc, cell) r from sp) group by book, cell),
+pr as (select a.channel, a.book a, b.book b, count(*)::double n, sum(a.mass) sx, sum(b.mass) sy, sum(a.mass*a.mass) sxx, sum(b.mass*b.mass) syy, sum(a.mass*b.mass) sxy
+  from ch a join ch b on a.channel = b.channel and a.cell = b.cell and a.book < b.book group by 1, 2, 3),
+corr as (select channel, a, b, case when n < 2 or sxx - sx*sx/n <= 1e-15 or syy - sy*sy/n <= 1e-15 then 0.0 else (sxy - sx*sy/n)/sqrt((sxx - sx*sx/n)*(syy - sy*sy/n)) end corr from pr),
+lb as (select book, book % 3 label from books), pm as (select unnest(range(1, {PERMUTATIONS} + 1))::int perm),
+seat as (select perm, book, row_number() over (partition by perm order by book) i from lb, pm),
+deal as (select perm, label, row_number() over (partition by perm order by md5(concat(perm, ':', book)), book) i from lb, pm),
+sh as (select seat.perm, book, label from seat join deal on seat.perm = deal.perm and seat.i = deal.i),
+ob as (select channel, coalesce(avg(corr) filter (a % 3 = b % 3), 0) - coalesce(avg(corr) filter (a % 3 <> b % 3), 0) gap from corr group by 1),
+pg as (select channel, x.perm, coalesce(avg(corr) filter (x.label = y.label), 0) - coalesce(avg(corr) filter (x.label <> y.label), 0) g from corr join sh x on x.book = a join sh y on y.book = b and x.perm = y.perm group by 1, 2)
+select ob.channel, round(gap, 6) + 0.0 as gap, cast(sum(case when g >= gap - 1e-12 then 1 else 0 end) as bigint) as at_least, round((sum(case when g >= gap - 1e-12 then 1 else 0 end) + 1)/{PERMUTATIONS + 1}.0::double, 6) + 0.0 as p_value from pg join ob on pg.channel = ob.channel group by ob.channel, gap"""
+
 KS = (1, 3, 5, 10, 20, 0)
 
 
@@ -427,6 +463,7 @@ QUERIES = {
     "j11_pairs": (j11_pairs, J11),
     "a11_gap": (a11_gap, A11),
     "a12_permutation": (a12_permutation, A12),
+    "x11_channels": (x11_channels, X11),
     "t05_topk_prior": (t05_topk_prior, T05),
     "t06_halves": (t06_halves, T06),
     "w01_expanding": (w01_expanding, W01),
