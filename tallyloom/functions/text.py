@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stands between sentences while a text is split; not a character of texts.
-CUT = "⏹"
+from tallyloom.functions.numeric import once
+
+#: Stands between segments while a text is split: one of the code points that are no characters.
+CUT = "\ufdd0"
+# Signs that may follow the end of a sentence, and the lines around a book.
 CLOSERS = "[\"'’”)\\]]*"
 _START = r"(?i)\*\*\* ?START OF (THE|THIS) PROJECT GUTENBERG EBOOK[^\n]*\*\*\*"
 _END = r"(?i)\*\*\* ?END OF (THE|THIS) PROJECT GUTENBERG EBOOK"
@@ -34,22 +37,25 @@ def lines(text: Column) -> Column:
 
 
 def spans(df: DataFrame, text_col: str, how: str, *keep: str) -> DataFrame:
-    """(kept, position, start, end, text): segments with offsets in code points, found from left to right.
+    """(kept, position, start, end, text): segments with offsets in code points, from left to right.
 
-    Each segment is looked for from where the one before it ended, so repeated segments get their own places.
+    The text is cut into pieces that keep what separates them, so a segment's place is the sum of the lengths before it, and repeated
+    segments have their own places. Null and blank texts have none.
     """
-    parts = {"sentence": sentences, "paragraph": paragraphs, "line": lines}[how](F.col(text_col))
-    held = df.select(*keep, F.col(text_col).alias("__t"), parts.alias("__p"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-
-    def step(state: Column, part: Column) -> Column:
-        found = F.call_function("locate", part, F.col("__t"), state.at + 1)
-        start = F.when(found > 0, found - 1).otherwise(state.at)
-        end = start + F.length(part)
-        return F.struct(end.alias("at"), F.concat(state.out, F.array(F.struct(start.alias("start"), end.alias("end"), part.alias("text")))).alias("out"))
-
-    placed = F.aggregate("__p", empty, step, lambda s: s.out)
-    return held.select(*keep, F.posexplode(placed).alias("position", "s")).select(*keep, "position", "s.start", "s.end", "s.text")
+    t = F.col(text_col)
+    marked = {
+        "sentence": F.regexp_replace(t, f"([.!?]{CLOSERS}\\s+)([A-Z0-9])", f"$1{CUT}$2"),
+        "paragraph": F.regexp_replace(t, r"(\n[ \t]*\n+)", f"$1{CUT}"),
+        "line": F.replace(t, F.lit("\n"), F.lit("\n" + CUT)),
+    }[how]
+    held = once(df.select(*keep, F.split(marked, CUT).alias("__p")), __n=F.transform("__p", lambda p: F.length(p)))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda state, n: F.struct((state.at + n).alias("at"), F.array_append(state.out, state.at).alias("out"))
+    held = once(held, __s=F.aggregate("__n", empty, step, lambda s: s.out))
+    first = lambda p: F.length(p) - F.length(F.regexp_replace(p, r"^\s+", ""))
+    placed = F.filter(F.transform(F.arrays_zip("__p", "__s"), lambda x: F.struct((x["__s"] + first(x["__p"])).alias("start"), trimmed(x["__p"]).alias("text"))), lambda x: x.text != "")
+    found = held.select(*keep, F.posexplode(placed).alias("position", "s"))
+    return found.select(*keep, "position", "s.start", (F.col("s.start") + F.length("s.text")).alias("end"), "s.text")
 
 
 def strip_frame(text: Column) -> Column:

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cube import BY_NAME, CELL_NAMES
+from tallyloom.sources.scratch import cut
+
+#: Candidates that a pass of the exemplar selection brings to the driver.
+POOL = 1000
 
 
 @dataclass(frozen=True)
@@ -110,30 +114,37 @@ def window_signatures(df: DataFrame, doc_col: str, pos_col: str, signature_col:
 def select_basis(candidates: DataFrame, target: int = 100, per_cell: int | None = None, enough_ppm: int = 950_000) -> list[dict]:
     """Greedy choice of exemplars: (candidate_id, amplitude_ppm in cube order) to the chosen ids with the cell each is admitted for.
 
-    Each pass is one aggregation over all candidates: the one that raises the best amplitudes most, summed over the cells that aren't full,
-    wins, of equal ones the smallest id. It stops at the target, once every cell has enough, or when nothing helps. At most target passes;
-    the driver holds 27 numbers.
+    The one that raises the best amplitudes most, summed over the cells that aren't full, wins, of equal ones the smallest id. It stops at the
+    target, once every cell has enough, or when nothing helps. A candidate's gain only falls, so the POOL best of a pass over all
+    candidates are chosen from, without another pass, as long as the winner gains more than the last of them did; then
+    the next pass looks at all again. The driver holds the pool.
     """
     per_cell = per_cell or -(-100 // len(CELL_NAMES)) + 1
     place = {name: CELL_NAMES.index(name) for name in BY_NAME}
     best, count, chosen = dict.fromkeys(BY_NAME, 0), dict.fromkeys(BY_NAME, 0), []
-    held = candidates.select("candidate_id", "amplitude_ppm").cache()
+    held = cut(candidates.select("candidate_id", "amplitude_ppm"))
+    pool: dict = {}
+    bound = 0
     while len(chosen) < target and not all(v >= enough_ppm for v in best.values()):
         open_cells = [c for c in BY_NAME if count[c] < per_cell]
         if not open_cells:
             break
-        gains = [F.greatest(F.lit(0), F.col("amplitude_ppm")[place[c]] - F.lit(best[c])) for c in open_cells]
-        total: Column = sum(gains[1:], gains[0]).cast("long")
-        rest = held.filter(~F.col("candidate_id").isin([c["candidate_id"] for c in chosen])) if chosen else held
-        top = rest.select("candidate_id", "amplitude_ppm", total.alias("gain")).filter("gain > 0").agg(F.max_by(F.struct("candidate_id", "amplitude_ppm", "gain"), F.struct("gain", F.negative("candidate_id"))).alias("top")).first()["top"]
-        if top is None:
-            break
-        amplitudes = top["amplitude_ppm"]
+        gain_of = lambda v: sum(max(0, v[place[c]] - best[c]) for c in open_cells)  # noqa: B023, E731
+        gain, first = max(((gain_of(v), -i) for i, v in pool.items()), default=(0, 0))
+        if gain <= bound:  # another candidate may do as much
+            gains = [F.greatest(F.lit(0), F.col("amplitude_ppm")[place[c]] - F.lit(best[c])) for c in open_cells]
+            total: Column = sum(gains[1:], gains[0]).cast("long")
+            rows = held.select("candidate_id", "amplitude_ppm", total.alias("gain")).filter("gain > 0").orderBy(F.desc("gain"), "candidate_id").limit(POOL).collect()
+            if not rows:
+                break
+            pool = {r.candidate_id: r.amplitude_ppm for r in rows}
+            bound = rows[-1].gain if len(rows) == POOL else 0
+            gain, first = rows[0].gain, -rows[0].candidate_id
+        top, amplitudes = -first, pool[-first]
         cell = max(open_cells, key=lambda c: (max(0, amplitudes[place[c]] - best[c]), -BY_NAME.index(c)))
         for c in BY_NAME:
             best[c] = max(best[c], amplitudes[place[c]])
         count[cell] += 1
-        chosen.append({"rank": len(chosen), "candidate_id": top["candidate_id"], "admitted_for": cell, "gain": top["gain"]})
-    held.unpersist()
+        chosen.append({"rank": len(chosen), "candidate_id": top, "admitted_for": cell, "gain": gain})
     return chosen
 

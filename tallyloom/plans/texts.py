@@ -52,6 +52,14 @@ def w04_offsets(spark, sf_dir):
     return rules.spans(table(spark, sf_dir, "benchmark"), "text", "sentence", "item_id")
 
 
+W04 = r"""
+with p as (select item_id, string_split(regexp_replace(text, '([.!?]["''’”)\]]*\s+)([A-Z0-9])', '\1⏹\2', 'g'), '⏹') a from benchmark),
+u as (select item_id, generate_subscripts(a, 1) i, unnest(a) p from p),
+v as (select *, sum(length(p)) over (partition by item_id order by i) - length(p) o from u),
+w as (select item_id, i, o + length(p) - length(regexp_replace(p, '^\s+', '')) s, regexp_replace(p, '^\s+|\s+$', '', 'g') t from v)
+select item_id, (row_number() over (partition by item_id order by i) - 1)::int as position, s::int as start, (s + length(t))::int as "end", t as text from w where t <> ''"""
+
+
 def f29_verses(spark, sf_dir):
     """Each page as if it were one verse."""
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(rules.verse_text(F.col("html")), 256).alias("text_sha256"))
@@ -340,7 +348,7 @@ QUERIES = {
     "f24_paragraphs": (f24_paragraphs, F24),
     "f25_sentences": (f25_sentences, F25),
     "f26_lines": (f26_lines, F26),
-    "w04_offsets": (w04_offsets, None),
+    "w04_offsets": (w04_offsets, W04),
     "f29_verses": (f29_verses, F29),
     "f30_html_text": (f30_html_text, F30),
     "f49_links": (f49_links, F49),
