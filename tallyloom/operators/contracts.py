@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -189,6 +189,59 @@ def readiness(channels: DataFrame, splits: DataFrame) -> DataFrame:
     return c.select("channel", (F.size(reasons) == 0).alias("ready"), reasons.alias("reasons"))
 
 
+def lint(files: DataFrame, foreign: str) -> DataFrame:
+    """(path, rule) of the published files (path, text) that break the contract: data only, no import of the foreign package, no reference to
+    whatever is latest, no content id of zeros.
+
+    foreign: the package's name. A null text breaks only the rules on paths; a file breaks each rule once.
+    """
+    path, text = F.col("path"), F.coalesce("text", F.lit(""))
+    imports = rf"""\b(import|require)\s*(\(|[^\n;]*from\s*)['"]@?{foreign}[^'"]*['"]"""
+    ids = F.try_parse_json(F.when(path.endswith(".json"), text))
+    named = F.coalesce(*[F.try_variant_get(ids, f"$.{k}", "string") for k in ("snapshot_id", "pack_id")])
+    rules = {
+        "code": path.rlike(r"(?i)\.(mjs|cjs|js|ts|sh|py|wasm)$"),
+        "import": text.rlike(imports),
+        "implicit-latest": text.rlike(r"(?i)\b(latest\b|@latest\b|main\b|HEAD\b)"),
+        "zero-id": F.coalesce(named.rlike(":sha256:0{64}$"), F.lit(False)),
+    }
+    broken = F.array_compact(F.array(*[F.when(wrong, F.lit(rule)) for rule, wrong in rules.items()]))
+    return files.select("path", F.explode(broken).alias("rule"))
+
+
+def changed_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, rule) of published files (path, text) that a later publication changed or dropped: what is named by its content never changes. New files
+    are fine; of a path that repeats all texts must be the same."""
+    held = lambda df, name: df.groupBy("path").agg(F.array_sort(F.collect_set(F.sha2(F.coalesce("text", F.lit("")), 256))).alias(name))
+    met = held(before, "was").join(held(after, "now"), "path", "left")
+    return met.filter("now is null or was <> now").select("path", F.when(F.col("now").isNull(), "dropped").otherwise("changed").alias("rule"))
+
+
+def in_range(version: Column, wanted: Column) -> Column:
+    """Whether a version (1.2.3) lies in a range of terms joined by spaces, each of >=, >, <=, <, = and a version whose missing parts are 0; false for
+    null or other texts."""
+    parts = lambda v: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.coalesce(F.try_element_at(F.split(v, r"\."), i).try_cast("int"), F.lit(0)))
+    at = parts(version)
+
+    def holds(term: Column) -> Column:
+        sign, bound = F.regexp_extract(term, "^(>=|<=|>|<|=)?", 1), parts(F.regexp_extract(term, r"([0-9.]+)$", 1))
+        return F.when(sign == ">=", at >= bound).when(sign == "<=", at <= bound).when(sign == ">", at > bound).when(sign == "<", at < bound).otherwise(at == bound)
+
+    known = version.rlike(r"^\d+(\.\d+)*$") & wanted.rlike(r"^((>=|<=|>|<|=)?\d+(\.\d+)*)( +(>=|<=|>|<|=)?\d+(\.\d+)*)*$")
+    return F.coalesce(known & F.forall(F.split(wanted, " +"), holds), F.lit(False))
+
+
+def compatibility(snapshots: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Snapshots (snapshot_id, schema, operator_epoch, engine_version) with the first reason against them: unknown-epoch, schema, engine, or null.
+
+    matrix: (operator_epoch, engine_compatibility, spec_versions array) of the engine, a row an epoch.
+    """
+    met = snapshots.join(matrix, "operator_epoch", "left")
+    reason = F.when(F.col("engine_compatibility").isNull(), "unknown-epoch").when(~F.coalesce(F.array_contains("spec_versions", F.col("schema")), F.lit(False)), "schema")
+    reason = reason.when(~in_range(F.col("engine_version"), F.col("engine_compatibility")), "engine")
+    return met.select(*snapshots.columns, reason.alias("reason"))
+
+
 def rights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RIGHTS, "status string, may_retain_full_text boolean")
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import norm_token
+from tallyloom.sources.scratch import cut
 
 PRIOR_SUPPORT = 3
 ENTRY = "kind string, token string, origin string, weight long, support long, strain long, defeated boolean"
@@ -71,46 +72,57 @@ def apply_op(entry: dict | None, op: str, weight: int = 1) -> dict:
 
 
 def fold_log(log: DataFrame, priors: DataFrame) -> DataFrame:
-    """The entries after a log (kind, token, pos, op, weight), from priors.
+    """The entries after a log (kind, token, pos, op, weight), from priors: what apply_op gives step by step in the order of pos.
 
-    A step depends on the one before, so each (kind, token) is folded in its order. Runs of one op are summed to one row first (their effect
-    has a closed form but for the moment of defeat, which is replayed), so a hot token's task reads runs, not events.
+    Weight and support are running sums. Strain is a walk that holds lower to 0 at least and reinstating sets to 0, so it is a running sum less
+    its lowest value since. An entry is defeated or not by the last step that says so. The log is dealt by ranges of token and pos, so a hot
+    token lies in many chunks: each chunk's walk is summed to one map, s -> max(s + a, b) or a constant, the maps of a token's chunks are
+    composed by running sums over them, and with what enters each chunk its steps are walked by themselves. Rows without an op that
+    is known change nothing. Tokens are normalised; an empty log gives the priors.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("kind", "token").orderBy("pos")
-    steps = log.select("kind", norm_token(F.col("token")).alias("token"), "pos", "op", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"))
-    new = F.when(F.lag("op").over(w) == F.col("op"), 0).otherwise(1)
-    runs = steps.withColumn("n", new).withColumn("run", F.sum("n").over(w)).groupBy("kind", "token", "run", "op").agg(F.count("*").alias("times"), F.sum("weight").alias("weight"))
-    rows = runs.select("kind", "token", "run", "op", "times", "weight", F.lit(None).cast("string").alias("origin"), F.lit(None).cast("long").alias("support"), F.lit(None).cast("long").alias("strain"), F.lit(None).cast("boolean").alias("defeated"))
-    start = priors.select("kind", "token", F.lit(0).cast("long").alias("run"), F.lit("prior").alias("op"), F.lit(1).cast("long").alias("times"), "weight", "origin", "support", "strain", "defeated")
-
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        entry = None
-        for r in part.sort_values("run", kind="stable").itertuples():
-            if r.op == "prior":
-                entry = {"origin": r.origin, "weight": int(r.weight), "support": int(r.support), "strain": int(r.strain), "defeated": bool(r.defeated)}
-            elif r.op == "learn":
-                entry = apply_op(entry, "learn", int(r.weight))
-            else:
-                entry = repeat_op(entry, r.op, int(r.times))
-        return pd.DataFrame([(*key, *entry.values())], columns=["kind", "token", *entry])[["kind", "token", "origin", "weight", "support", "strain", "defeated"]]
-
-    return rows.unionByName(start).groupBy("kind", "token").applyInPandas(one, ENTRY)
-
-
-def repeat_op(entry: dict | None, op: str, times: int) -> dict:
-    """The entry after so many equal steps, in a few of them."""
-    e = apply_op(entry, op)
-    left = times - 1
-    if op == "hold":
-        e |= {"support": e["support"] + left, "strain": max(0, e["strain"] - left)}
-    elif op == "break":
-        e["strain"] += left
-        e["defeated"] = e["defeated"] or e["strain"] > e["support"]
-    elif op == "reinforce":
-        e["support"] += left
-    return e
+    keys = ["kind", "token"]
+    op, one = F.col("op"), F.lit(1).cast("long")
+    steps = log.select("kind", norm_token(F.col("token")).alias("token"), "pos", "op", F.coalesce("weight", one).cast("long").alias("weight"))
+    zero = F.lit(0).cast("long")
+    steps = steps.withColumns({
+        "learned": F.when(op == "learn", F.col("weight")).otherwise(zero),
+        "support": F.when(op == "learn", F.col("weight")).when(op.isin("hold", "reinforce"), one).otherwise(zero),
+        "move": F.when(op == "break", one).when(op == "hold", -one).otherwise(zero),
+        "reset": F.when(op == "reinstate", one).otherwise(zero),
+    })
+    placed = cut(steps.repartitionByRange(*keys, "pos").withColumn("chunk", F.spark_partition_id()))
+    so_far = Window.partitionBy(*keys, "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    segment = placed.withColumn("part", F.sum("reset").over(so_far))
+    in_part = Window.partitionBy(*keys, "chunk", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    walked = segment.withColumn("walk", F.sum("move").over(in_part)).withColumn("low", F.min("walk").over(in_part))
+    last = F.max_by(F.struct("walk", "low"), F.struct("part", "pos"))
+    chunks = walked.groupBy(*keys, "chunk").agg(F.sum("learned").alias("learned"), F.sum("support").alias("support"), F.max("part").alias("resets"), F.count_if(op == "learn").alias("learns"), last.alias("last"))
+    a = F.col("last.walk")
+    b = a - F.col("last.low")
+    fixed = F.col("resets") > 0
+    maps = chunks.select(*keys, "chunk", "learned", "support", "learns", fixed.alias("fixed"), F.when(fixed, zero).otherwise(a).alias("a"), F.when(fixed, F.greatest(a, b)).otherwise(b).alias("b"))
+    start = priors.select(*keys, F.lit(-1).alias("chunk"), F.col("weight").alias("learned"), "support", zero.alias("learns"), F.lit(True).alias("fixed"), zero.alias("a"), F.col("strain").alias("b"))
+    order = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    groups = maps.unionByName(start).withColumn("run", F.sum(F.col("fixed").cast("int")).over(order))
+    in_run = Window.partitionBy(*keys, "run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    after = groups.withColumn("sum", F.sum("a").over(in_run)).withColumn("most", F.max(F.col("b") - F.col("sum")).over(in_run))
+    after = after.withColumns({"strain": F.col("sum") + F.when(F.col("run") == 0, F.greatest(zero, "most")).otherwise(F.col("most")), "held": F.sum("support").over(order)})
+    step = Window.partitionBy(*keys).orderBy("chunk")
+    entering = {"strain_in": F.coalesce(F.lag("strain").over(step), zero), "support_in": F.col("held") - F.col("support")}
+    after = cut(after.withColumns(entering))
+
+    met = walked.join(after.select(*keys, "chunk", "strain_in", "support_in"), [*keys, "chunk"])
+    level = F.when(F.col("part") == 0, F.col("strain_in")).otherwise(zero)
+    strain = level + F.col("walk") - F.least(zero, level + F.col("low"))
+    support = F.col("support_in") + F.sum("support").over(so_far)
+    says = F.when(op.isin("learn", "reinstate"), False).when(op == "defeat", True).when(op.isin("hold", "break") & (strain > support), True)
+    verdict = met.select(*keys, "pos", says.alias("says")).filter("says is not null").groupBy(*keys).agg(F.max_by("says", "pos").alias("says"))
+
+    whole = after.groupBy(*keys).agg(F.sum("learned").alias("weight"), F.sum("support").alias("support"), F.max_by("strain", "chunk").alias("strain"), F.sum("learns").alias("learns"))
+    before = priors.select(*keys, "origin", F.col("defeated").alias("was"))
+    out = whole.join(before, keys, "left").join(verdict, keys, "left")
+    origin = F.when(F.col("learns") > 0, "learned").otherwise(F.coalesce("origin", F.lit("learned")))
+    return out.select(*keys, origin.alias("origin"), "weight", "support", "strain", F.coalesce("says", "was", F.lit(False)).alias("defeated"))
 
 
 def held(entries: DataFrame, kinds: list[str]) -> DataFrame:

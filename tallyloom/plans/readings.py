@@ -111,6 +111,56 @@ def a28_conventions(spark, sf_dir):
     return conventions.fold_log(log, seeds)
 
 
+A28 = """
+with e as (select 'k' || (user_id % 5) kind, event_type token, ts, event_id, event_id % 6 op from events),
+pr as (select 'k' || i kind, t token from range(5) r(i), (values ('view'), ('click')) v(t)),
+l as (select kind, token, list({'op': op, 'w': 0::bigint, 'su': 0::bigint, 'st': 0::bigint, 'd': false, 'o': 'learned'} order by ts, event_id) a from e group by 1, 2),
+j as (select coalesce(l.kind, pr.kind) kind, coalesce(l.token, pr.token) token, coalesce(a, []) a, pr.kind is not null p from l full join pr on l.kind = pr.kind and l.token = pr.token),
+r as (select kind, token, list_reduce([{'op': -1::bigint, 'w': 0::bigint, 'su': case when p then 3 else 0 end::bigint, 'st': 0::bigint, 'd': false, 'o': case when p then 'prior' else 'learned' end}] || a, lambda s, x:
+  {'op': x.op, 'w': s.w + case when x.op = 0 then 1 else 0 end, 'su': s.su + case when x.op in (0, 1, 5) then 1 else 0 end,
+   'st': case x.op when 1 then greatest(0, s.st - 1) when 2 then s.st + 1 when 4 then 0 else s.st end,
+   'd': case when x.op in (0, 4) then false when x.op = 3 then true when x.op = 1 and greatest(0, s.st - 1) > s.su + 1 then true when x.op = 2 and s.st + 1 > s.su then true else s.d end,
+   'o': case when x.op = 0 then 'learned' else s.o end}) z from j)
+select kind, token, z.o as origin, z.w as weight, z.su as support, z.st as strain, z.d as defeated from r"""
+
+
+def c16_compatibility(spark, sf_dir):
+    """Parts as snapshots of packs: their epochs, schemas and engines vary with their keys."""
+    k = F.col("p_partkey")
+    version = F.concat_ws(".", (k % 7).cast("string"), (k % 4).cast("string"), F.when(k % 3 > 0, (k % 11).cast("string")))
+    snapshots = table(spark, sf_dir, "part").select(
+        k.alias("snapshot_id"), F.when(k % 5 == 0, "Other@1").otherwise("PriorSnapshot@1").alias("schema"), F.concat(F.lit("epoch-"), (k % 3).cast("string")).alias("operator_epoch"), F.when(k % 13 != 0, version).alias("engine_version")
+    )
+    rows = [("epoch-0", ">=5.0.0 <6", ["PriorSnapshot@1"]), ("epoch-1", ">2.1 <=4.3.9", ["PriorSnapshot@1", "Other@1"])]
+    return contracts.compatibility(snapshots, spark.createDataFrame(rows, "operator_epoch string, engine_compatibility string, spec_versions array<string>")).select("snapshot_id", "reason")
+
+
+C16 = """
+with v as (select p_partkey k, p_partkey % 7 a, p_partkey % 4 b, case when p_partkey % 3 > 0 then p_partkey % 11 else 0 end c, p_partkey % 13 <> 0 known from part)
+select k as snapshot_id, case when k % 3 = 2 then 'unknown-epoch' when k % 3 = 0 and k % 5 = 0 then 'schema'
+  when k % 3 = 0 and not (known and (a, b, c) >= (5, 0, 0) and (a, b, c) < (6, 0, 0)) then 'engine'
+  when k % 3 = 1 and not (known and (a, b, c) > (2, 1, 0) and (a, b, c) <= (4, 3, 9)) then 'engine' end as reason from v"""
+
+
+def p16_lint(spark, sf_dir):
+    """Pages as published files, some of them code, some importing, some naming the latest, some with an id of zeros; then what a later state changed."""
+    k = F.col("page_id")
+    name = F.concat(F.lit("packs/"), k.cast("string"), F.when(k % 7 == 0, ".Js").when(k % 2 == 0, ".json").otherwise(".html"))
+    zeros = F.concat(F.lit('{"pack_id":"pack:sha256:'), F.repeat(F.lit("0"), 64), F.lit('"}'))
+    text = F.when((k % 2 == 0) & (k % 5 == 0), zeros).when(k % 11 == 0, "const a = require('foreignapp/x')").when(k % 13 == 0, "see the @latest one").otherwise(F.md5("html"))
+    files = table(spark, sf_dir, "pages").select(k.alias("k"), name.alias("path"), text.alias("text"))
+    later = files.filter("k % 17 <> 0").withColumn("text", F.when(F.col("k") % 19 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return contracts.lint(files, "foreignapp").unionByName(contracts.changed_snapshots(files, later))
+
+
+P16 = """
+with f as (select page_id k, 'packs/' || page_id || case when page_id % 7 = 0 then '.Js' when page_id % 2 = 0 then '.json' else '.html' end as path from pages),
+r as (select path, case when k % 7 = 0 then 'code' end a, case when not (k % 2 = 0 and k % 5 = 0) and k % 11 = 0 then 'import' end b,
+  case when not (k % 2 = 0 and k % 5 = 0) and k % 11 <> 0 and k % 13 = 0 then 'implicit-latest' end c,
+  case when k % 7 <> 0 and k % 2 = 0 and k % 5 = 0 then 'zero-id' end d, case when k % 17 = 0 then 'dropped' when k % 19 = 0 then 'changed' end e from f)
+select path, rule from (select path, unnest([a, b, c, d, e]) rule from r) where rule is not null"""
+
+
 def k10_relations(spark, sf_dir):
     """Sources as relation verbs with their counts."""
     verbs = table(spark, sf_dir, "documents").groupBy(F.concat("source", F.lit(".")).alias("via")).agg(F.count("*").alias("count"))
@@ -201,7 +251,9 @@ QUERIES = {
     "f32_signatures": (f32_signatures, F32),
     "w06_windows": (w06_windows, W06),
     "g10_records": (g10_records, None),
-    "a28_conventions": (a28_conventions, None),
+    "c16_compatibility": (c16_compatibility, C16),
+    "p16_lint": (p16_lint, P16),
+    "a28_conventions": (a28_conventions, A28),
     "k10_relations": (k10_relations, K10),
     "g09_basis": (g09_basis, None),
     "g09_first_pick": (g09_first_pick, G09),
