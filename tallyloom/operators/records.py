@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions.cube import BY_NAME, CELL_NAMES
 from tallyloom.sources.scratch import cut
 
+#: Similarities of distinct windows that are kept at once: 64 MB.
+ALIKE_NUMBERS = 1 << 23
 #: Candidates that a pass of the exemplar selection brings to the driver.
 POOL = 1000
 
@@ -54,14 +57,15 @@ def _groups(units: list[list[str]], length: int, how: Mining) -> Iterator[tuple[
     """(score, first start, group) of the windows of one length.
 
     What follows a record depends only on where it ends and on the set that it must resemble, so for each distinct set the next
-    window that fits is known for every place at once, and each of its windows reads its group off that table.
+    window that fits is known for every place at once, and each of its windows reads its group off that table. Of the similarities of
+    distinct sets only the rows used last are kept, ALIKE_NUMBERS numbers at most; the others are made again when they are asked for.
     """
     sets = [frozenset(x for u in units[i : i + length] for x in u) for i in range(len(units) - length + 1)]
     kind, has = _likeness(sets)
     places = np.arange(len(sets))
-    alike = {k: _alike(has, k) for k in range(len(has))}
-    for k, row in alike.items():
-        fitting = np.where(row[kind] >= how.similarity, places, len(sets))
+    alike = lru_cache(maxsize=max(16, ALIKE_NUMBERS // max(1, len(has))))(lambda k: _alike(has, k))
+    for k in range(len(has)):
+        fitting = np.where(alike(k)[kind] >= how.similarity, places, len(sets))
         following = np.minimum.accumulate(fitting[::-1])[::-1]
         ahead = np.full(len(sets), -1)
         ends = places[: max(0, len(sets) - length)]
@@ -72,7 +76,7 @@ def _groups(units: list[list[str]], length: int, how: Mining) -> Iterator[tuple[
                 starts.append(after)
             if len(starts) >= how.min_records:
                 times = Counter(kind[starts].tolist())
-                pairs = sum(n * (n - 1) / 2 + sum(n * m * alike[a][b] for b, m in times.items() if b > a) for a, n in times.items())
+                pairs = sum(n * (n - 1) / 2 + sum(n * m * alike(a)[b] for b, m in times.items() if b > a) for a, n in times.items())
                 confidence = round(float(pairs / (len(starts) * (len(starts) - 1) / 2)), 6) if len(starts) > 1 else 0.0
                 yield len(starts) * length * confidence, start, {"unit_count": length, "starts": starts, "confidence": confidence, "signature": sorted(sets[start])}
 
