@@ -98,7 +98,7 @@ def _values(rows: list[tuple[str, str]]) -> str:
     return ", ".join("('%s', '%s')" % row for row in rows)
 
 
-K02 = f"""
+K02 = rf"""
 with learned as ({K12}),
 seeds(kind, token) as (values {_values([(k, t) for k, ts in corpora.REGISTERS.items() for t in dict.fromkeys(ts)])}),
 asks(question, kind) as (values {_values([(q, k) for q, ks in conventions.QUESTIONS.items() for k in ks])}),
@@ -119,7 +119,7 @@ def f44_irregular(spark, sf_dir):
     return conventions.irregular_past(words, pairs).filter("past is not null or is_past")
 
 
-F44 = f"""with {_WORDS},
+F44 = rf"""with {_WORDS},
 w as (select distinct regexp_replace(token, '\.$', '') token from p),
 i as (select token base, replace(token, 'i', 'a') past from p where regexp_matches(token, '^[a-z]*i[a-z]*$') and replace(token, 'i', 'a') in (select token from p))
 select p.token, (select min(past) from i where base = p.token) as past, p.token in (select past from i) as is_past from p where p.token in (select base from i union select past from i)"""
