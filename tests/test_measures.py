@@ -158,3 +158,34 @@ def test_basis(spark):
         count[cell] += 1
         best = {c: max(best[c], pool[i][place[c]]) for c in best}
     assert got == want
+
+
+def test_gaps_without_pairs_equal_gaps_of_pairs(spark):
+    rng = random.Random(6)
+    mass = [(f"b{b}", c, 0.25 if b == 3 else rng.random()) for b in range(9) for c in range(27)]  # b3 is constant
+    mass = spark.createDataFrame(mass, "book string, cell int, mass double")
+    rounds = [(perm, f"b{b}", "xyz"[rng.randrange(3)]) for perm in range(5) for b in range(9)] + [(9, f"b{b}", "x") for b in range(9)] + [(10, "b1", "x"), (10, "b2", "y")]
+    labels = spark.createDataFrame(rounds, "perm int, book string, label string")
+    want = {r.perm: r.gap for r in priors.gap(priors.correlations(mass, "book"), labels, "perm").collect()}
+    got = {r.perm: r.gap for r in priors.label_gaps(priors.standardised(mass, "book"), labels, "book", "perm").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_vectors_that_are_like_no_centroid(spark):
+    good = [0.5, -0.25, 0.0]
+    rows = [(1, good), (2, None), (3, [1.0]), (4, [1.0, None, 0.0]), (5, [float("nan"), 1.0, 1.0]), (6, [0.0, 0.0, 0.0]), (7, [])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    cents = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.array(F.lit(1.0), i.cast("double"), F.lit(2.0))).alias("centroids"))
+    got = {r.id: r for r in measure.measure_vectors(df, cents, "v").collect()}
+    plain = measure.cosines(df.filter("id = 1"), cents, "v").first().cosines
+    assert got[1].cosines == pytest.approx(plain) and sum(got[1].amplitude_ppm) >= 999_000
+    assert all(set(got[i].similarity_ppm) == set(got[i].amplitude_ppm) == {0} for i in range(2, 8))
+
+
+def test_pools_of_any_size_choose_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(0, 400_000) if rng.random() < 0.2 else 0 for _ in range(27)]) for i in range(150)]
+    df = spark.createDataFrame(rows + [(200, rows[3][1])], "candidate_id long, amplitude_ppm array<int>")
+    whole = records.select_basis(df, target=25)
+    monkeypatch.setattr(records, "POOL", 3)
+    assert records.select_basis(df, target=25) == whole and len(whole) > 5

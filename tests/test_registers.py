@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from tallyloom.operators import company, literacy
+from tallyloom.operators import company, conventions, literacy
 
 NAMES = ["Alice", "Justine", "Tom", "Felix"]
 
@@ -180,3 +180,22 @@ def test_rungs(spark):
         now = [[f"§{slot_of[t]}" if t in slot_of else t for t in d] for d in now]
     assert got == want and 1 <= max(r for r, *_ in got) < 4
     assert company.rungs(stream.limit(0)).collect() == []
+
+
+def test_sediment_replaces_registers(spark):
+    seeds = conventions.seed(spark, {"copula": ["is", "was"], "demonym": ["french"], "abbreviation": ["mr"]})
+    induced = spark.createDataFrame([("copula", "Ist.", 9), ("copula", "was", 4), ("starter", "the", 3)], "register string, token string, weight long")
+    both = conventions.overlay(seeds, conventions.sediment(induced, "shelf"))
+    assert {(r.kind, r.token, r.shelf, r.support) for r in both.collect()} == {("copula", "ist", "shelf", 3), ("copula", "was", "shelf", 3), ("demonym", "french", None, 3), ("abbreviation", "mr", None, 3)}
+    words = spark.createDataFrame([("IS",), ("ist",), ("French.",), (None,), ("",), ("ist",)], "token string")
+    asked = lambda e: {(r.question, r.token) for r in conventions.all_answers(words, e).collect()}
+    assert asked(seeds) == {("copula", "is"), ("auxiliary", "is"), ("demonym", "french")}
+    assert asked(both) == {("copula", "ist"), ("auxiliary", "ist"), ("demonym", "french")}
+    assert conventions.overlay(seeds, conventions.sediment(induced.limit(0), "none")).count() == seeds.count()
+
+
+def test_irregular_pasts(spark):
+    pairs = spark.createDataFrame([("write", "wrote"), ("bid", "bid"), ("bid", "bade")], "base string, past string")
+    verbs = spark.createDataFrame([("Write", 1), ("wrote.", 2), ("bid", 3), ("walk", 4), (None, 5)], "token string, past int").drop("past")
+    got = {r.token: (r.past, r.is_past) for r in conventions.irregular_past(verbs, pairs).collect()}
+    assert got == {"Write": ("wrote", False), "wrote.": (None, True), "bid": ("bade", True), "walk": (None, False), None: (None, False)}
