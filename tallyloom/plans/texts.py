@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as rules
-from tallyloom.operators import company
+from tallyloom.operators import company, corpora
 from tallyloom.session import table
 from tallyloom.sources import ledger_io
 from tallyloom.sources.scratch import cut
@@ -338,6 +338,15 @@ select token, count(*) over (partition by root) as size from rt"""
 
 
 
+def j16_induced_mates(spark, sf_dir):
+    """The slot mates of the conversations' words: how many share a word's induced slot, and the first of them."""
+    pool, near = _nearest(spark, sf_dir)
+    return corpora.slot_members(company.slots(pool, company.mutual(near, ALIKE))).select("token", "n_mates", "first_mate")
+
+
+J16 = G11[: G11.rindex("select token")] + "select token, (select count(*) from rt o where o.root = rt.root) - 1 as n_mates, (select min(o.token) from rt o where o.root = rt.root and o.token <> rt.token) as first_mate from rt"
+
+
 def g12_rungs(spark, sf_dir):
     """Slots of all documents' words, slots of what these make, and so on until a rung joins nothing."""
     return company.rungs(company.token_stream(_docs(spark, sf_dir), "text", "doc_id"), frame_size=FRAME, pool_size=POOL, least=LEAST, k=NEAREST, floor=ALIKE, most=4)
@@ -371,5 +380,6 @@ QUERIES = {
     "t04_knn": (t04_knn, T04),
     "j17_mutual": (j17_mutual, J17),
     "g11_slots": (g11_slots, G11),
+    "j16_induced_mates": (j16_induced_mates, J16),
     "g12_rungs": (g12_rungs, None),
 }
