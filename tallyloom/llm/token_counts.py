@@ -367,7 +367,8 @@ class TokenCounter(Splitter):
 
 @functools.lru_cache(maxsize=2)
 def load(name: str) -> TokenCounter:
-    """One counter a worker process, kept between tasks."""
+    """One counter a worker process, kept between tasks with the words it remembers: they cost most of a task's time, and both memos and the states
+    are bounded. Spark ends a worker that has had nothing to do for a minute."""
     return TokenCounter(vocabulary_path(name))
 
 
@@ -383,7 +384,6 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         for batch in small(batches):
             counts = [counter.count(t) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["__id", "n_bytes", "n_tokens"])
-        counter.forget()
         give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
