@@ -37,6 +37,8 @@ KEPT_BACK = 10
 BUCKETS, LEXICON, SEQUENCE, STEPS = 1 << 15, 1500, 40, 40
 #: Words and runs remembered in a worker, and words times texts that are labelled at once.
 MEMO, BLOCK = 120_000, 200_000
+#: Words that a labeller remembers where no other stage shares the executors' memory.
+MEMO_ALONE = 400_000
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -208,8 +210,8 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS, rate: float = 0.4, deca
 class Labeller:
     """Labels whole texts; the scores of words are remembered."""
 
-    def __init__(self, model: Field):
-        self.model = model
+    def __init__(self, model: Field, memo: int = MEMO):
+        self.model, self.memo = model, memo
         #: For each trigram of the model a row, with a one for each language that has it; row 0 is for all others.
         self.rows = {gram: i for i, gram in enumerate(model.grams, 1)}
         bits = np.array([0, *model.grams.values()], object)  # of any number of languages
@@ -232,7 +234,7 @@ class Labeller:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's words; new words are scored together."""
-        if len(self.words) > MEMO or len(self.runs) > MEMO:
+        if len(self.words) > self.memo or len(self.runs) > self.memo:
             self.clear()
         known, runs, fresh, out = self.words, self.runs, [], []
         for text in texts:
@@ -330,7 +332,7 @@ def identify(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str
     shared = df.sparkSession.sparkContext.broadcast(model)  # of a size bounded by BUCKETS, MAX_LANGUAGES and the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, names = Labeller(shared.value), shared.value.languages
+        labeller, names = Labeller(shared.value, MEMO_ALONE), shared.value.languages
         for batch in small(batches, 4000):
             texts = batch.column(1).to_pylist()
             langs, scores, parts = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
