@@ -189,3 +189,29 @@ def test_pools_of_any_size_choose_the_same(spark, monkeypatch):
     whole = records.select_basis(df, target=25)
     monkeypatch.setattr(records, "POOL", 3)
     assert records.select_basis(df, target=25) == whole and len(whole) > 5
+
+
+def test_condense_of_many_observations_reads_no_pair_twice(monkeypatch):
+    """Exact gains are worked out for a small part of the pairs, and the clusters are those of the plain search."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.full(27, 0.5), 1500)
+    p[::100] = 0.0
+    p[50:60] = p[0:10]
+    worked_out, plain = [], emergence._gains
+    monkeypatch.setattr(emergence, "_gains", lambda s, w, o: worked_out.append(len(s)) or plain(s, w, o))
+    found = emergence.condense(p, 1.0, max_rounds=10)
+    assert sum(worked_out) < 0.1 * len(p) ** 2 / 2
+    assert sorted(i for rows in found for i in rows) == list(range(len(p))) and len(found) == len(p) - 10
+    assert emergence.condense(p[:90], 0.5) == brute_condense(p[:90], 0.5)
+
+
+def test_the_bounds_of_pairs_hold():
+    rng = np.random.default_rng(4)
+    p = np.round(np.concatenate([rng.dirichlet(np.full(27, a), 40) for a in (0.02, 0.3, 5.0)] + [np.zeros((2, 27))]), 6)
+    h = emergence._entropy(p)
+    w = h[:, None] * np.sqrt(p)
+    for overhead in (0.5, 1.0):
+        bounds = emergence._Bounds(p, h, overhead)
+        for i in range(len(p) - 1):
+            gains = emergence._gains(p[i] + p[i + 1 :], w[i] + w[i + 1 :], overhead) + 2 * overhead
+            assert (bounds.of(i, slice(i + 1, len(p))) >= gains).all() and bounds.best_later()[i] >= gains.max()
