@@ -215,3 +215,13 @@ def test_the_bounds_of_pairs_hold():
         for i in range(len(p) - 1):
             gains = emergence._gains(p[i] + p[i + 1 :], w[i] + w[i + 1 :], overhead) + 2 * overhead
             assert (bounds.of(i, slice(i + 1, len(p))) >= gains).all() and bounds.best_later()[i] >= gains.max()
+
+
+def test_overlaps_sizes_aren_t_worked_out_for_every_member(spark):
+    """The number of a group's members is made before its members are spread, else it costs their square."""
+    groups = spark.range(6000).groupBy(F.lit("a").alias("name"), F.lit("Figure").alias("tier")).agg(F.collect_list(F.col("id").cast("string")).alias("members"))
+    plan = emergence.overlaps(groups, groups)._jdf.queryExecution().optimizedPlan().toString()
+    above = [line for line in plan.splitlines() if "explode" in line or "Project" in line]
+    first = next(i for i, line in enumerate(above) if "explode" in line)
+    assert not any("size(array_distinct" in line for line in above[:first])
+    assert emergence.overlaps(groups, groups).collect()[0]["overlap"] == 1.0
