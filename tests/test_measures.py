@@ -225,3 +225,16 @@ def test_overlaps_sizes_aren_t_worked_out_for_every_member(spark):
     first = next(i for i, line in enumerate(above) if "explode" in line)
     assert not any("size(array_distinct" in line for line in above[:first])
     assert emergence.overlaps(groups, groups).collect()[0]["overlap"] == 1.0
+
+
+def test_folds_are_made_by_the_batch(spark):
+    """No lambda runs for each of an event's cells, and odd readings keep their rules."""
+    rows = [(1, ["CON", "SEG"], 2, None, True, True), (2, None, None, None, None, None), (3, [], -1, ((1.0, 0.0, None), (0.0, 2.0, 0.0), (1.0, 0.0, 0.0)), True, False)]
+    schema = "id int, surprises array<string>, n_syn int, ground struct<void:struct<cultivating:double,clearing:double,tending:double>,field:struct<cultivating:double,clearing:double,tending:double>,atmosphere:struct<cultivating:double,clearing:double,tending:double>>, held boolean, predicted boolean"
+    made = folds.fold_readings(spark.createDataFrame(rows, schema))
+    got = {r.id: [tuple(a) for a in r.acts] for r in made.collect()}
+    assert [a[:3] for a in got[1]] == [("CON", "Figure", 125000), ("SEG", "Figure", 125000), ("SYN", "Figure", 125000), ("SYN", "Figure", 125000), ("SYN", "Ground", 125000), ("SYN", "Ground", 125000), ("REC", "Figure", 125000), ("EVA", "Figure", 125000)]
+    assert got[2] == [("EVA", "Figure", 1000000, None)]
+    assert got[3] == [("INS", "Ground", 83333, "ground:void.cultivating"), ("REC", "Ground", 83333, "ground:atmosphere.cultivating"), ("SEG", "Ground", 166667, "ground:field.clearing"), ("NUL", "Figure", 333333, None), ("EVA", "Figure", 333334, None)]
+    plan = measure.measure_folds(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("MapInArrow") == 2
