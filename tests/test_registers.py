@@ -199,3 +199,23 @@ def test_irregular_pasts(spark):
     verbs = spark.createDataFrame([("Write", 1), ("wrote.", 2), ("bid", 3), ("walk", 4), (None, 5)], "token string, past int").drop("past")
     got = {r.token: (r.past, r.is_past) for r in conventions.irregular_past(verbs, pairs).collect()}
     assert got == {"Write": ("wrote", False), "wrote.": (None, True), "bid": ("bade", True), "walk": (None, False), None: (None, False)}
+
+
+def test_rungs_need_pairs_alone(spark):
+    """Pairs read from texts are those of their stream, and lifting pairs is lifting the stream; no text is shuffled or ordered."""
+    texts = spark.createDataFrame([(1, "a b a b c. b"), (2, ""), (3, None), (4, "c"), (5, "b a")], "doc int, text string")
+    stream = company.token_stream(texts, "text", "doc")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    met = company.text_pairs(texts, "text")
+    assert rows(met.select("token", "next", "count")) == rows(company.pairs(stream).select("token", "next", "count")) and "Window" not in met._jdf.queryExecution().optimizedPlan().toString()
+    slot_of = spark.createDataFrame([("a", 0), ("b", 0)], "token string, slot int")
+    assert rows(company.lift_pairs(met, slot_of).select("token", "next", "count")) == rows(company.pairs(company.lift(stream, slot_of)).select("token", "next", "count"))
+    F = company.F
+    broken = stream.withColumn("token", F.when(F.col("pos") == 2, company.BOUNDARY).otherwise(F.col("token")))
+    assert rows(company.pairs(broken).filter("next is not null").select("token", F.lit("R"), "next", "count")) <= rows(company.neighbours(broken))
+
+
+def test_frames_shuffle_only_what_a_marker_follows(spark):
+    texts = spark.createDataFrame([('"x" said that he goes; he reported that one fell. noise of many other words',)] * 3, "text string")
+    marks = spark.createDataFrame([("that",)], "token string")
+    assert {r.next for r in company.report_grams(texts, "text", marks).collect()} == {"that"}
