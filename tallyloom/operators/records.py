@@ -53,6 +53,25 @@ def _alike(has: np.ndarray, k: int) -> np.ndarray:
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
+def _alike_all(has: np.ndarray) -> np.ndarray:
+    """The similarity of each distinct set to each."""
+    sizes, both = has.sum(axis=1), has @ has.T
+    union = sizes[:, None] + sizes - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
+def _ahead(fits: np.ndarray, length: int, max_gap: int) -> np.ndarray:
+    """Of rows of places that fit: for each place the next one that fits behind a record there, -1 without any near enough."""
+    n = fits.shape[1]
+    following = np.minimum.accumulate(np.where(fits, np.arange(n), n)[:, ::-1], axis=1)[:, ::-1]
+    out = np.full(fits.shape, -1)
+    if n > length:
+        after = following[:, length:]
+        near = (after < n) & (after <= np.arange(n - length) + length + max_gap)
+        out[:, : n - length] = np.where(near, after, -1)
+    return out
+
+
 def _groups(units: list[list[str]], length: int, how: Mining) -> Iterator[tuple[float, int, dict]]:
     """(score, first start, group) of the windows of one length.
 
@@ -62,21 +81,30 @@ def _groups(units: list[list[str]], length: int, how: Mining) -> Iterator[tuple[
     """
     sets = [frozenset(x for u in units[i : i + length] for x in u) for i in range(len(units) - length + 1)]
     kind, has = _likeness(sets)
-    places = np.arange(len(sets))
-    alike = lru_cache(maxsize=max(16, ALIKE_NUMBERS // max(1, len(has))))(lambda k: _alike(has, k))
-    for k in range(len(has)):
-        fitting = np.where(alike(k)[kind] >= how.similarity, places, len(sets))
-        following = np.minimum.accumulate(fitting[::-1])[::-1]
-        ahead = np.full(len(sets), -1)
-        ends = places[: max(0, len(sets) - length)]
-        ahead[ends] = np.where((following[ends + length] < len(sets)) & (following[ends + length] <= ends + length + how.max_gap), following[ends + length], -1)
-        for start in np.flatnonzero(kind == k).tolist():
+    whole = len(has) * len(sets) <= ALIKE_NUMBERS // 16
+    every = range(len(has))
+    if whole:  # all similarities, and what follows each place, at once
+        table = _alike_all(has)
+        alike = table.tolist().__getitem__
+        jumps = _ahead(table[:, kind] >= how.similarity, length, how.max_gap).tolist()
+    else:
+        alike = lru_cache(maxsize=max(16, ALIKE_NUMBERS // max(1, len(has))))(lambda k: _alike(has, k))
+    kinds = kind.tolist()
+    places: list[list[int]] = [[] for _ in every]
+    for start, k in enumerate(kinds):
+        places[k].append(start)
+    for k in every:
+        ahead = jumps[k] if whole else _ahead((alike(k)[kind] >= how.similarity)[None], length, how.max_gap)[0].tolist()
+        for start in places[k]:
             starts = [start]
-            while (after := int(ahead[starts[-1]])) >= 0:
+            while (after := ahead[starts[-1]]) >= 0:
                 starts.append(after)
             if len(starts) >= how.min_records:
-                times = Counter(kind[starts].tolist())
-                pairs = sum(n * (n - 1) / 2 + sum(n * m * alike(a)[b] for b, m in times.items() if b > a) for a, n in times.items())
+                times = Counter([kinds[s] for s in starts])
+                pairs = 0.0
+                for a, n in times.items():
+                    near = alike(a)
+                    pairs += n * (n - 1) / 2 + sum([n * m * near[b] for b, m in times.items() if b > a])
                 confidence = round(float(pairs / (len(starts) * (len(starts) - 1) / 2)), 6) if len(starts) > 1 else 0.0
                 yield len(starts) * length * confidence, start, {"unit_count": length, "starts": starts, "confidence": confidence, "signature": sorted(sets[start])}
 

@@ -238,3 +238,14 @@ def test_folds_are_made_by_the_batch(spark):
     assert got[3] == [("INS", "Ground", 83333, "ground:void.cultivating"), ("REC", "Ground", 83333, "ground:atmosphere.cultivating"), ("SEG", "Ground", 166667, "ground:field.clearing"), ("NUL", "Figure", 333333, None), ("EVA", "Figure", 333334, None)]
     plan = measure.measure_folds(made)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_records_of_a_short_stream_are_mined_at_once(monkeypatch):
+    """One product gives the likeness of all windows of a length; rows of it are made one by one for long streams alone, with the same groups."""
+    units = [[f"a{i % 5}", f"b{i * i % 7}"] for i in range(40)]
+    one_by_one = records._alike
+    monkeypatch.setattr(records, "_alike", None)
+    found = records.mine(units)
+    monkeypatch.setattr(records, "_alike", one_by_one)
+    monkeypatch.setattr(records, "ALIKE_NUMBERS", 64)
+    assert found and found == records.mine(units)
