@@ -126,3 +126,13 @@ assert scratch_dir(spark) == scratch_dir(spark.newSession()) and scratch_dir(spa
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root, "TMPDIR": str(tmp_path)}
     subprocess.run([sys.executable, "-c", code], check=True, env=env, timeout=120)
+
+
+def test_deep_arrays_are_written_every_few_levels(spark, monkeypatch):
+    from tallyloom.sources import ledger_io
+
+    written, plain = [], ledger_io.cut
+    monkeypatch.setattr(ledger_io, "cut", lambda df: written.append(1) or plain(df))
+    df = spark.createDataFrame([("a", "[" * 9 + '"x","y"' + "]" * 9), ("b", '["p",["q",["r"]]]')], "k string, j string")
+    assert {(r.k, r.text) for r in ledger_io.joined_strings(df, "k", "j").collect()} == {("a", "x\ny"), ("b", "p\nq\nr")}
+    assert len(written) <= 4
