@@ -150,10 +150,14 @@ def registers(counts: DataFrame, frames: DataFrame, top: list[str], words: int)
     return found
 
 
+def literacy_of(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """What induce_literacy finds, of words and their profile."""
+    top, speakers, n = anchors(counts)
+    return registers(counts, frame_counts(words, counts, top, speakers), top, n)
+
+
 def induce_literacy(texts: DataFrame, text_col: str) -> DataFrame:
     """register, token, weight: what the texts teach. Null and blank texts teach nothing, repeated rows count each, and an empty table gives no
     rows. Other columns are not read."""
     words = sentence_words(texts, text_col)
-    counts = cut(profile(words))
-    top, speakers, n = anchors(counts)
-    return registers(counts, frame_counts(words, counts, top, speakers), top, n)
+    return literacy_of(words, cut(profile(words)))

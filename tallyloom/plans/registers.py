@@ -47,7 +47,7 @@ A22P = f"with {_WORDS} select token, n, n_cap, n_low, n_start, n_final, n_dot fr
 def a23_frames(spark, sf_dir):
     """Every word of the documents: how often it stands in each frame around the most frequent words."""
     words = literacy.sentence_words(_dialogue(spark, sf_dir), "text")
-    counts = literacy.profile(words)
+    counts = cut(literacy.profile(words))
     top, speakers, _ = literacy.anchors(counts)
     return literacy.frame_counts(words, counts, top, speakers)
 
@@ -85,10 +85,11 @@ K12 = f"with {_WORDS}, {_FRAMES}, {_REGISTERS}"
 
 def k02_sediment(spark, sf_dir):
     """What every word of the documents is to a reader with the seeds, and to one whose registers the documents taught."""
-    words = literacy.profile(literacy.sentence_words(_dialogue(spark, sf_dir), "text"))
+    uses = literacy.sentence_words(_dialogue(spark, sf_dir), "text")
+    counts = cut(literacy.profile(uses))
     seeds = conventions.seed(spark, corpora.REGISTERS)
-    learned = conventions.sediment(literacy.induce_literacy(_dialogue(spark, sf_dir), "text"), "documents")
-    words = cut(words.select("token"))
+    learned = conventions.sediment(literacy.literacy_of(uses, counts), "documents")
+    words = counts.select("token")
     before, after = conventions.all_answers(words, seeds), conventions.all_answers(words, conventions.overlay(seeds, learned))
     met = before.withColumn("before", F.lit(True)).join(after.withColumn("after", F.lit(True)), ["question", "token"], "full")
     return met.select("question", "token", F.coalesce("before", F.lit(False)).alias("before"), F.coalesce("after", F.lit(False)).alias("after"))

@@ -219,3 +219,16 @@ def test_frames_shuffle_only_what_a_marker_follows(spark):
     texts = spark.createDataFrame([('"x" said that he goes; he reported that one fell. noise of many other words',)] * 3, "text string")
     marks = spark.createDataFrame([("that",)], "token string")
     assert {r.next for r in company.report_grams(texts, "text", marks).collect()} == {"that"}
+
+
+def test_words_are_counted_once_for_sediment_and_frames(spark, monkeypatch):
+    """Both read what the profile of the words wrote."""
+    from tallyloom.plans import registers
+
+    counted, written, profile, cut = [], [], literacy.profile, registers.cut
+    monkeypatch.setattr(literacy, "profile", lambda words: counted.append(1) or profile(words))
+    monkeypatch.setattr(registers, "cut", lambda df: written.append(1) or cut(df))
+    registers.k02_sediment(spark, "/root/testdata/sf0.001")
+    assert len(counted) == 1
+    registers.a23_frames(spark, "/root/testdata/sf0.001")
+    assert len(counted) == len(written) == 2
