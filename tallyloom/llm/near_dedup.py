@@ -163,13 +163,18 @@ def _difference(a: str, b: str) -> Column:
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
+def _of_element(counted: Column) -> Column:
+    """An aggregate of one element's entries in one list, beside each of them: joining the counts to the entries would make each row again."""
+    return counted.over(Window.partitionBy("value", "s"))
+
+
 def _within_reach(ranked: DataFrame, more: int) -> DataFrame:
     """Drops entries of inverted lists that can't meet a partner: what is left of them is less than they have to share
     with the member of their list that asks for least."""
-    asked = F.min(F.when(F.col("stray"), F.col("x")))
-    lists = ranked.groupBy("value", "s").agg(F.count("*").alias("c"), F.min("x").alias("any"), asked.alias("strays")).filter("c > 1 and strays is not null")
+    asked = _of_element(F.min(F.when(F.col("stray"), F.col("x"))))
+    lists = ranked.select("*", _of_element(F.count("*")).alias("c"), _of_element(F.min("x")).alias("any"), asked.alias("strays")).filter("c > 1 and strays is not null")
     partner = F.when(F.col("stray"), F.col("any")).otherwise(F.col("strays"))
-    return ranked.join(lists, ["value", "s"]).filter(2 * more * F.col("left") >= F.col("x") + partner).select(ranked.columns)
+    return lists.filter(2 * more * F.col("left") >= F.col("x") + partner).select(ranked.columns)
 
 
 def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -216,18 +221,16 @@ def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     short = cut(short.select("value", "rep", "n", "stray", "e", "d", "x", "prefix"))
     # in one order for all members of a list: first the elements at which no stray meets anyone, which need no entry but take their
     # places, then the others, rare ones first
-    asked = short.filter("stray").select("value", F.explode("e").alias("s")).distinct()
-    meeting = counts.select("value", "s", F.least(F.col("c"), F.col("m") - F.col("c")).alias("df")).filter("df > 1").join(asked, ["value", "s"])
     tasks = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the members of a list came from few tasks
-    listed = short.repartition(tasks).select("value", "rep", "n", "stray", "x", "d", "prefix", F.explode("e").alias("s")).join(meeting, ["value", "s"])
+    each = short.repartition(tasks).select("value", "rep", "n", "stray", "x", "d", "prefix", F.explode("e").alias("s"))
+    listed = each.select("*", _of_element(F.count("*")).alias("df"), _of_element(F.max("stray")).alias("asked")).filter("df > 1 and asked")
     member = Window.partitionBy("value", "rep")
     place = F.col("d") - F.count("*").over(member) + F.row_number().over(member.orderBy("df", "s"))
     ranked = cut(listed.withColumn("i", place).filter("i <= prefix").select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("i") + 1).alias("left"), "s"))
     for _ in range(2):
         ranked = cut(_within_reach(ranked, more))
     key = ["value", "s"]
-    length = ranked.groupBy(*key).agg(F.count("*").alias("c")).filter("c > 1")
-    entries = cut(ranked.join(length, key))
+    entries = cut(ranked.select("*", _of_element(F.count("*")).alias("c")).filter("c > 1"))
     pairs = entries.filter(f"c <= {HOT}")
     one = pairs.filter("stray").select(*key, F.col("rep").alias("p"), F.col("n").alias("np"), F.col("x").alias("xp"), F.col("left").alias("lp"))
     other = pairs.select(*key, F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("x").alias("xq"), F.col("left").alias("lq"))

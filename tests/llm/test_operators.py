@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -669,3 +670,26 @@ def test_many_findings_in_one_text():
 
 def test_candidates_are_all_long_runs():
     assert [a for a, _ in secret_scan.other_candidates("ABCDEFGHIJKLM abcdefghijklmn short ab+cd/ef=gh.i", [])] == [0, 14, 35]
+
+
+def joined_rows(spark, since):
+    """Rows that joins by list and element made in the session's executions from number since on."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(since, runs.size())):
+        counts, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and re.search(r"\[value#\d+L?, s#\d+L?\]", node.desc()):
+                found = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                rows = [counts.get(m.accumulatorId()) for m in found if m.name() == "number of output rows"]
+                made += sum(int(r.get().replace(",", "")) for r in rows if r.isDefined())
+    return made
+
+
+def test_near_groups_join_few_rows_of_a_large_group(spark):
+    rng = random.Random(8)
+    base = " ".join(f"b{i}" for i in range(200))
+    texts = [varied(rng, base, rng.randrange(1, 6)) for _ in range(500)]
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    assert near_dedup.near_groups(table(spark, texts)).count() == 500
+    assert joined_rows(spark, since) < 20 * 500  # the counts of elements, joined to their entries, made some 200 a member
