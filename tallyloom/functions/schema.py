@@ -53,9 +53,8 @@ def event_schema(types: list[str], payloads: Mapping[str, dict] = PAYLOADS) -> d
     return {**envelope, "not": {"required": ["ledger_position"]}, "allOf": by_type}
 
 
-def _kind(value: Column) -> Column:
-    """The JSON type of a variant; null where there is none."""
-    shape = F.schema_of_variant(value)
+def _kind(shape: Column) -> Column:
+    """The JSON type of a variant by its schema; null where there is none."""
     number = shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     return (
         F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null").when(number, "number")
@@ -98,8 +97,11 @@ class Compiler:
 
     def found(self, schema: Mapping, value: Column, path: Column) -> Column:
         """The array of what a variant violates; a value that isn't there violates nothing here."""
-        seen = F.struct(value.alias("v"), _kind(value).alias("kind"), _text(value).alias("text"))
-        return F.when(value.isNotNull(), _let(seen, lambda x: self._rules(self._resolve(schema), x, path))).otherwise(_none())
+        kind = lambda v: _let(F.schema_of_variant(v), _kind)
+        typed = lambda v: _let(F.struct(v.alias("v"), kind(v).alias("kind")), with_text)
+        text = lambda x: F.when(~x["kind"].isin("object", "array"), _text(x["v"]))  # noqa: E731  theirs would be all that they hold, and no rule reads it
+        with_text = lambda x: _let(F.struct(x["v"].alias("v"), x["kind"].alias("kind"), text(x).alias("text")), lambda y: self._rules(self._resolve(schema), y, path))
+        return _let(value, lambda v: F.when(v.isNotNull(), typed(v)).otherwise(_none()))
 
     def _rules(self, schema: Mapping, x: Column, path: Column) -> Column:
         value, kind, text, one = x["v"], x["kind"], x["text"], []
@@ -159,4 +161,4 @@ def violations(value: Column, schema: Mapping[str, object]) -> Column:
     allOf, anyOf, not, if / then / else and references within the schema are known; other keywords say nothing. A null column, as try_parse_json
     gives for null and broken texts, violates "$: json".
     """
-    return F.when(value.isNull(), F.array(F.lit("$: json"))).otherwise(Compiler(schema).found(schema, value, F.lit("$")))
+    return _let(value, lambda v: F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(Compiler(schema).found(schema, v, F.lit("$"))))

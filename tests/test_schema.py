@@ -47,3 +47,8 @@ def test_violations(spark):
 def test_foreign_references_are_errors():
     with pytest.raises(ValueError, match="within the schema"):
         schema.Compiler({})._resolve({"$ref": "other.json#/a"})
+
+
+def test_a_value_is_computed_once_where_rules_nest(spark):
+    found = schema.violations(F.try_parse_json(F.col("j")), NESTED)  # spark: a column needs a session
+    assert str(found).count("try_parse_json") == 1  # once for each use by the rules of the first level before
