@@ -25,7 +25,8 @@ REGISTERS = ("function", "starter", "preposition", "copula", "attribution-verb",
 
 
 def _capital(word: Column) -> Column:
-    return F.coalesce(word.rlike(r"^\p{Lu}"), F.lit(False))
+    first = F.left(word, F.lit(1))  # letters of ASCII, nearly all there are, need no pattern
+    return F.coalesce(F.when(first.between("A", "Z"), True).when(first.between("a", "z"), False).otherwise(word.rlike(r"^\p{Lu}")), F.lit(False))
 
 
 def sentence_words(texts: DataFrame, text_col: str) -> DataFrame:
@@ -40,18 +41,22 @@ def sentence_words(texts: DataFrame, text_col: str) -> DataFrame:
         F.regexp_extract_all("s", piece, 1).alias("w"),
         F.concat(F.array(F.regexp_extract("s", rf"^[^{LETTERS}]*", 0)), F.regexp_extract_all("s", piece, 2)).alias("gap"),
     )
-    each = held.select("w", "gap", F.posexplode("w").alias("place", "word"))
-    at = lambda a, i: F.get(F.col(a), F.col("place") + i)
-    return each.select(
-        "word", F.lower("word").alias("token"), at("w", -1).alias("prev"), at("w", 1).alias("next"), "place",
-        at("gap", 0).alias("before"), at("gap", -1).alias("before_prev"), at("gap", 1).alias("after"),
-    )
+    # a word takes along what it needs of its sentence, not the sentence
+    size, none = F.size("w"), F.array(F.lit(None).cast("string"))
+    shifted = {
+        "word": F.col("w"), "prev": F.concat(none, F.slice("w", F.lit(1), F.greatest(size - 1, F.lit(0)))), "next": F.concat(F.slice("w", F.lit(2), size), none),
+        "place": F.sequence(F.lit(0), size - 1), "before": F.slice("gap", F.lit(1), size),
+        "before_prev": F.concat(none, F.slice("gap", F.lit(1), F.greatest(size - 1, F.lit(0)))), "after": F.slice("gap", F.lit(2), size),
+    }
+    each = held.filter(size > 0).select(F.inline(F.arrays_zip(*[c.alias(n) for n, c in shifted.items()])).alias(*shifted))
+    return each.select("word", F.lower("word").alias("token"), "prev", "next", "place", "before", "before_prev", "after")
 
 
 def profile(words: DataFrame) -> DataFrame:
     """token, n, n_cap, n_low, n_start (opens a sentence with a capital), n_final (before a sign, or last), n_dot (before a full stop)."""
     cap = _capital(F.col("word"))
-    signed = F.col("next").isNull() | F.col("after").rlike(rf"[^\t-\r\p{{Z}}\x{{FEFF}}]") | F.col("next").rlike("^['’]")
+    marked = (F.col("after") != " ") & F.col("after").rlike(rf"[^\t-\r\p{{Z}}\x{{FEFF}}]")
+    signed = F.col("next").isNull() | marked | F.col("next").startswith("'") | F.col("next").startswith("’")
     return words.groupBy("token").agg(
         F.count("*").alias("n"), F.count_if(cap).alias("n_cap"), F.count_if(~cap).alias("n_low"), F.count_if(cap & (F.col("place") == 0)).alias("n_start"),
         F.count_if(signed).alias("n_final"), F.count_if(F.col("after").startswith(".")).alias("n_dot"),
@@ -76,7 +81,7 @@ def frame_counts(words: DataFrame, counts: DataFrame, top: list[str], speakers:
     article = F.coalesce(F.lower("next").isin(top[:ARTICLES]), F.lit(False))
     inner, cap_prev, cap_next = F.col("prev").isNotNull() & F.col("next").isNotNull(), _capital(F.col("prev")), _capital(F.col("next"))
     links = inner & article & cap_prev
-    closing = lambda gap: F.coalesce(F.substring(gap, -3, 3).rlike(CLOSING), F.lit(False))
+    closing = lambda gap: F.coalesce((F.length(gap) > 1) & F.substring(gap, -3, 3).rlike(CLOSING), F.lit(False))  # noqa: E731  a sign and a mark at least
     speaker = lambda w: _capital(w) | F.coalesce(F.lower(w).isin(speakers), F.lit(False))
     met = words.withColumn("subject", F.when(links & (F.col("place") != 1), F.lower("prev"))).groupBy("token", "subject").agg(
         F.count("*").alias("n_all"),

@@ -232,3 +232,14 @@ def test_words_are_counted_once_for_sediment_and_frames(spark, monkeypatch):
     assert len(counted) == 1
     registers.a23_frames(spark, "/root/testdata/sf0.001")
     assert len(counted) == len(written) == 2
+
+
+def test_words_take_along_what_they_need_of_their_sentence(spark):
+    df = spark.createDataFrame([("Él said, “Go now.” ... It's\n\n1 b",), (None,), ("",), ("--",)], "t string")
+    words = literacy.sentence_words(df, "t")
+    got = [(r.word, r.prev, r.next, r.place, r.before, r.before_prev, r.after) for r in words.collect()]
+    assert got == [
+        ("Él", None, "said", 0, "", None, " "), ("said", "Él", "Go", 1, " ", "", ", “"), ("Go", "said", "now", 2, ", “", " ", " "), ("now", "Go", None, 3, " ", ", “", ".” ..."),
+        ("It's", None, None, 0, "", None, ""), ("b", None, None, 0, "1 ", None, ""),
+    ]
+    assert "posexplode" not in words._jdf.queryExecution().optimizedPlan().toString()  # each word copied its sentence's arrays before
