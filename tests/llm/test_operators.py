@@ -693,3 +693,23 @@ def test_near_groups_join_few_rows_of_a_large_group(spark):
     since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
     assert near_dedup.near_groups(table(spark, texts)).count() == 500
     assert joined_rows(spark, since) < 20 * 500  # the counts of elements, joined to their entries, made some 200 a member
+
+
+def test_all_labelled_findings_are_learned_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {row for r in docs.collect() for row in secret_scan._labelled(r.text or "")}
+    got = [tuple(r) for r in secret_scan.labelled_findings(docs).collect()]
+    assert len(got) == len(want) > 4 * secret_scan.SAMPLE and set(got) == want  # at most SAMPLE of each label before
+
+
+def test_calibration_by_sums_equals_the_plain_one(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    y = (rng.random(12_000) < 0.95).astype(float)
+    logit = np.round(rng.normal(3 * y, 1.5), 3)
+    judged = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, logit, strict=True)], "y double, logit double")
+    plain, summed = secret_scan.fit([], []), secret_scan.fit([], [])
+    monkeypatch.setattr(secret_scan, "_logits", lambda net, x: logit)
+    secret_scan._calibrate(plain, None, y)
+    secret_scan._calibrate_all(summed, judged)
+    assert np.allclose([plain.scale, plain.offset, plain.threshold], [summed.scale, summed.offset, summed.threshold], atol=1e-4)
+    assert plain.report["recall"] == summed.report["recall"] and plain.report["false_alarms"] == summed.report["false_alarms"]
