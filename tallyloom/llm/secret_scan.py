@@ -20,6 +20,7 @@ calibration and the threshold are sums and counts over all held-out findings. Sc
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -118,10 +119,34 @@ def windows_of(text: str, start: int, end: int) -> list[str]:
 
 
 def encode(windows: list[str]) -> np.ndarray:
-    raw = np.array([[min(ord(c), 255) for c in w] for w in windows], np.int64)
-    classes = _CLASS[raw]
-    classes[raw == 0] = 0
-    return classes
+    """The class of each character of windows of one length; the zeros that pad them stay zeros."""
+    raw = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(windows), -1 if windows else 0)
+    return np.where(raw == 0, 0, _CLASS[np.minimum(raw, 255)])
+
+
+#: Arrays that steps use again: taking and freeing their memory at each step would cost more than the step.
+_ROOM: dict[tuple[str, np.dtype], np.ndarray] = {}
+
+
+def _room(name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+    """An array for one use at a time, with whatever its last use left in it."""
+    n = math.prod(shape)
+    if len(_ROOM.get((name, dtype), ())) < n:
+        _ROOM[name, dtype] = np.empty(n, dtype)
+    return _ROOM[name, dtype][:n].reshape(shape) if n else np.empty(shape, dtype)
+
+
+def _neighbours(name: str, rows: np.ndarray) -> np.ndarray:
+    """Each place of (rows, places, depth) side by side with the _SPAN - 1 places after it, which follow it in memory: a row for each such run."""
+    n, places, depth = rows.shape
+    out = _room(name, (n, places - _SPAN + 1, _SPAN * depth), rows.dtype)
+    out[:] = np.lib.stride_tricks.as_strided(rows, out.shape, rows.strides)
+    return out.reshape(-1, _SPAN * depth)
+
+
+def _mean(act: np.ndarray) -> np.ndarray:
+    """The mean over the places, as a product: numpy's own goes through so short an axis slowly."""
+    return (np.full((1, act.shape[1]), 1 / act.shape[1], act.dtype) @ act)[:, 0]
 
 
 @dataclass
@@ -137,13 +162,16 @@ class Network:
     report: dict[str, float] = field(default_factory=dict)
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        e = self.embedding[x]
+        """What each layer makes of x; the first two are overwritten by the next call."""
         n = x.shape[1] - _SPAN + 1
-        cols = np.concatenate([e[:, i : i + n] for i in range(_SPAN)], axis=2)
-        act = np.maximum(cols @ self.filters + self.bias, 0)
+        kind = self.embedding.dtype
+        cols = _neighbours("cols", self.embedding.take(x, axis=0, out=_room("embedded", (*x.shape, _DIMS), kind), mode="clip"))
+        act = np.matmul(cols, self.filters, out=_room("act", (len(cols), _FILTERS), kind))
+        act += self.bias
+        act = np.maximum(act, 0, out=act).reshape(len(x), n, _FILTERS)
         edges = (slice(0, BEFORE - _SPAN + 1), slice(BEFORE - _SPAN + 1, BEFORE + INSIDE), slice(BEFORE + INSIDE - 1, n))
         tops = [act[:, s].argmax(axis=1) + s.start for s in edges]
-        pooled = np.concatenate([np.take_along_axis(act, t[:, None], axis=1)[:, 0] for t in tops] + [act[:, edges[1]].mean(axis=1)], axis=1)
+        pooled = np.concatenate([np.take_along_axis(act, t[:, None], axis=1)[:, 0] for t in tops] + [_mean(act[:, edges[1]])], axis=1)
         return cols, act, np.stack(tops), pooled, pooled @ self.dense + self.shift
 
     def odds(self, windows: list[str]) -> np.ndarray:
@@ -168,6 +196,11 @@ def _loss(net: Network, x: np.ndarray, y: np.ndarray) -> float:
 NUMBERS = ("embedding", "filters", "bias", "dense", "shift")
 
 
+def _network(*numbers) -> Network:
+    """A network of numbers in single precision: steps take half the time."""
+    return Network(*[np.asarray(part, np.float32) for part in numbers])
+
+
 class _Steps:
     """Steps of a network down the slope of its loss (Adam)."""
 
@@ -180,23 +213,25 @@ class _Steps:
         self.step += 1
         middle = slice(BEFORE - _SPAN + 1, BEFORE + INSIDE)
         cols, act, tops, pooled, logit = net.forward(x)
-        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(x)
+        error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(x)).astype(act.dtype)
         back = error[:, None] * net.dense[None, :]
-        grad_act = np.zeros_like(act)
+        n, edge = act.shape[1], _SPAN - 1
+        padded = _room("padded", (len(x), n + 2 * edge, _FILTERS), act.dtype)
+        padded[:] = 0
+        grad_act = padded[:, edge : edge + n]
+        grad_act[:, middle] = back[:, None, 3 * _FILTERS :] / (middle.stop - middle.start)
         for part in range(3):
             old = np.take_along_axis(grad_act, tops[part][:, None], axis=1)
             np.put_along_axis(grad_act, tops[part][:, None], old + back[:, None, part * _FILTERS : (part + 1) * _FILTERS], axis=1)
-        grad_act[:, middle] += back[:, None, 3 * _FILTERS :] / (middle.stop - middle.start)
         grad_act *= act > 0
-        flat = grad_act.reshape(-1, _FILTERS)
-        grad_cols = grad_act @ net.filters.T
-        n = act.shape[1]
-        by_place = np.zeros((*x.shape, _DIMS))
-        for i in range(_SPAN):
-            by_place[:, i : i + n] += grad_cols[:, :, i * _DIMS : (i + 1) * _DIMS]
+        flat = _room("flat", act.shape, act.dtype)
+        flat[:] = grad_act
+        flat = flat.reshape(-1, _FILTERS)
+        # a place's gradient comes from the runs that end with it up to those that begin with it, so the filters' parts go backwards
+        by_place = _neighbours("runs", padded) @ np.concatenate([part.T for part in np.split(net.filters, _SPAN)[::-1]])
         ids = x.ravel()
-        grad_embedding = np.stack([np.bincount(ids, by_place[:, :, d].ravel(), _SYMBOLS) for d in range(_DIMS)], axis=1)
-        grads = {"embedding": grad_embedding, "filters": cols.reshape(-1, cols.shape[2]).T @ flat, "bias": flat.sum(axis=0), "dense": pooled.T @ error, "shift": error.sum()}
+        grad_embedding = np.stack([np.bincount(ids, by_place[:, d], _SYMBOLS) for d in range(_DIMS)], axis=1)
+        grads = {"embedding": grad_embedding.astype(act.dtype), "filters": cols.T @ flat, "bias": np.ones(len(flat), act.dtype) @ flat, "dense": pooled.T @ error, "shift": error.sum()}
         for k, g in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g**2
@@ -206,7 +241,8 @@ class _Steps:
 def _fit_network(x: np.ndarray, y: np.ndarray, held: tuple[np.ndarray, np.ndarray], steps: int = STEPS, rate: float = 0.005) -> Network:
     """Fitted by steps, not epochs, until the held-out loss settles; rows of both labels in equal numbers."""
     rng = np.random.default_rng(11)
-    net = Network(rng.normal(0, 0.3, (_SYMBOLS, _DIMS)), rng.normal(0, (_SPAN * _DIMS) ** -0.5, (_SPAN * _DIMS, _FILTERS)), np.zeros(_FILTERS), rng.normal(0, 0.1, 4 * _FILTERS), 0.0)
+    start = (rng.normal(0, 0.3, (_SYMBOLS, _DIMS)), rng.normal(0, (_SPAN * _DIMS) ** -0.5, (_SPAN * _DIMS, _FILTERS)), np.zeros(_FILTERS), rng.normal(0, 0.1, 4 * _FILTERS), 0.0)
+    net = _network(*start)
     take = _Steps(net, rate)
     best, least, without = {}, np.inf, 0
     by_label = [np.flatnonzero(y == label) for label in (0, 1)]
@@ -228,7 +264,7 @@ def _fit_network(x: np.ndarray, y: np.ndarray, held: tuple[np.ndarray, np.ndarra
 
 def _calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> None:
     """Platt's scale and offset by Newton's method on held-out logits, then the threshold and what it keeps."""
-    logit = _logits(net, x)
+    logit = _logits(net, x).astype(float)
     a, b = 1.0, 0.0
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(30):
@@ -253,8 +289,9 @@ _ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcde
 def _respell(window: str, rng: np.random.Generator) -> str:
     """The window of a secret with its characters drawn anew, of another length, at times behind a short word and a sign."""
     letters = _ALPHABETS[rng.integers(len(_ALPHABETS))]
-    word = "".join(rng.choice(list("abcdefghijklmnoprstuvwy"), rng.integers(2, 5))) + "_-"[rng.integers(2)] if rng.random() < 0.4 else ""
-    inside = word + "".join(rng.choice(list(letters), rng.integers(14, INSIDE + 1)))
+    drawn = lambda of, n: "".join([of[i] for i in rng.integers(len(of), size=n).tolist()])
+    word = drawn("abcdefghijklmnoprstuvwy", rng.integers(2, 5)) + "_-"[rng.integers(2)] if rng.random() < 0.4 else ""
+    inside = word + drawn(letters, rng.integers(14, INSIDE + 1))
     return window[:BEFORE] + inside[:INSIDE].ljust(INSIDE, "\0") + window[-AFTER:]
 
 
@@ -362,7 +399,7 @@ def _pass(net: Network, found: DataFrame, first: tuple[list[str], list[str]]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, (secrets, others) = shared.value
-        net = Network(*[np.array(getattr(net, k)) for k in NUMBERS])
+        net = _network(*[getattr(net, k) for k in NUMBERS])
         take, half = _Steps(net, PASS_RATE), ROWS // 2
         for batch in batches:
             x, y, rng = _sides(batch)
@@ -380,7 +417,7 @@ def _pass(net: Network, found: DataFrame, first: tuple[list[str], list[str]]) ->
     mean = each.groupBy("at").agg((F.sum(F.col("number") * F.col("steps")) / F.sum("steps")).alias("number"))
     flat = np.array([r["number"] for r in sorted(mean.collect(), key=lambda r: r["at"])])  # some thousand numbers
     ends = np.cumsum([np.size(getattr(net, k)) for k in NUMBERS])
-    return Network(*[part.reshape(np.shape(getattr(net, k))) for k, part in zip(NUMBERS, np.split(flat, ends[:-1]), strict=True)])
+    return _network(*[part.reshape(np.shape(getattr(net, k))) for k, part in zip(NUMBERS, np.split(flat, ends[:-1]), strict=True)])
 
 
 def _judged(net: Network, found: DataFrame, times: int) -> DataFrame:
@@ -391,7 +428,7 @@ def _judged(net: Network, found: DataFrame, times: int) -> DataFrame:
         for batch in batches:
             x, y, rng = _sides(batch, times)
             if len(x):
-                yield pa.record_batch([pa.array(np.concatenate([y, y])), pa.array(_logits(shared.value, np.concatenate([x, _other_surroundings(x, rng)])))], ["y", "logit"])
+                yield pa.record_batch([pa.array(np.concatenate([y, y])), pa.array(_logits(shared.value, np.concatenate([x, _other_surroundings(x, rng)])).astype(float))], ["y", "logit"])
         give_back()
 
     return cut(map_batches(found.select("label", "w"), run, "y double, logit double"))

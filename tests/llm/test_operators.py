@@ -713,3 +713,29 @@ def test_calibration_by_sums_equals_the_plain_one(spark, monkeypatch):
     secret_scan._calibrate_all(summed, judged)
     assert np.allclose([plain.scale, plain.offset, plain.threshold], [summed.scale, summed.offset, summed.threshold], atol=1e-4)
     assert plain.report["recall"] == summed.report["recall"] and plain.report["false_alarms"] == summed.report["false_alarms"]
+
+
+def test_steps_in_single_precision_go_down_the_slope():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 98, (64, 80)), np.repeat([0.0, 1.0], 32)
+    numbers = [rng.normal(0, 0.3, shape) for shape in ((98, 8), (40, 16), 16, 64)] + [0.1]
+    double, single = secret_scan.Network(*map(np.array, numbers)), secret_scan._network(*numbers)
+    loss = lambda: float(np.logaddexp(0, np.where(y > 0, -1, 1) * double.forward(x)[4]).mean())
+    slopes = {}
+    for k in secret_scan.NUMBERS[:-1]:
+        part = getattr(double, k)
+        place = (40,) * (k == "embedding") + (3,) * (part.ndim if k != "embedding" else 1)
+        was, sides = part[place], []
+        for by in (1e-6, -1e-6):
+            part[place] = was + by
+            sides.append(loss())
+        part[place] = was
+        slopes[k] = (place, (sides[0] - sides[1]) / 2e-6)
+    for net, near in ((double, 1e-4), (single, 1e-2)):
+        take = secret_scan._Steps(net, 0.001)
+        take(x, y)
+        assert all(abs(take.first[k][place] / 0.1 - slope) <= near * abs(slope) + 1e-6 for k, (place, slope) in slopes.items())
+    assert single.forward(x)[1].dtype == single.filters.dtype == np.float32  # double before
+    held = secret_scan._ROOM["runs", single.filters.dtype]
+    secret_scan._Steps(single, 0.001)(x, y)
+    assert secret_scan._ROOM["runs", single.filters.dtype] is held  # taken anew at each step before
