@@ -38,6 +38,8 @@ CHANCE = 1e-6
 ESTIMATE_MARGIN = 0.29
 #: Members of a long list that meet its centre in one task; the share of common members from which on one long list takes in another.
 SPLIT, SAME = 256, 0.75
+#: Members of a long list that its centre and the order of its elements are taken from.
+CENTRE = 32
 #: Ids that may be broadcast to fetch the full sets of candidates.
 BROADCAST_IDS = 2_000_000
 _WORDS_KEPT = 300_000
@@ -158,6 +160,24 @@ def _dealt(side: DataFrame) -> DataFrame:
     return side.select("*", F.explode(F.sequence(F.lit(0), (F.col("m") / SPLIT).cast("int"))).alias("part"))
 
 
+def _centres(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(value, m, centre, common) of each long list: what most of CENTRE members have, by a hash; and that with what else two of them have,
+    in the order in which members differ from the centre in it, from few to many. Nothing is decided by these members: any centre and any order give
+    the same pairs, and these give short inverted lists."""
+    turn = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("value", "rep"), "rep"))
+    chosen = members.select("value", "m", "rep").withColumn("turn", turn).filter(f"turn <= {CENTRE}")
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, counts = np.unique(table.column("shingles").combine_chunks().flatten().to_numpy(), return_counts=True)
+        have = 2 * counts > table.num_rows
+        often = (counts > 1) | have
+        differ = np.where(have, table.num_rows - counts, counts)[often]
+        common = hashes[often][np.argsort(differ, kind="stable")]
+        return pa.table([table.column("value")[:1], table.column("m")[:1], _lists([hashes[have]]), _lists([common])], ["value", "m", "centre", "common"])
+
+    return cut(chosen.join(sets, "rep").select("value", "m", "shingles").groupBy("value").applyInArrow(run, "value long, m long, centre array<long>, common array<long>"))
+
+
 def _difference(a: str, b: str) -> Column:
     """The elements of two sets that only one of them has."""
     return F.concat(F.array_except(a, b), F.array_except(b, a))
@@ -178,55 +198,49 @@ def _within_reach(ranked: DataFrame, more: int) -> DataFrame:
 
 
 def _hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links and further candidates within long lists without their pairs, and lists of at most half the length that are left to do.
+    """Links and further candidates within long lists without their pairs, and shorter lists that are left to do.
 
-    members: (value, rep, m) of long lists of m members; sets: (rep, shingles). Per list, L holds the hashes that most members have.
+    members: (value, rep, m) of long lists of m members; sets: (rep, shingles). Per list, L is a set of hashes, any one (see _centres).
     With D(X) the symmetric difference of X and L, two members are similar exactly if |D(X) ^ D(Y)| <= h * (|X| + |Y|),
     h = (1 - t) / (1 + t). Let x(X) = |D(X)| - h * |X|. If x(X) + x(Y) <= 0 the two are certainly similar, so all
     X with x(X) <= -min x are linked to the member with the least x: one star. Any other member X, if it is similar to some Y,
-    shares at least (x(X) + x(Y)) / 2 > 0 elements of D(Y) with it; so in any order of the elements the two meet within the
-    first |D| minus that bound plus 1 of both, with enough elements left after the first meeting. Elements without such a meeting
-    come first and rare ones next, so the inverted lists are short, and entries with too little left to meet anyone leave them. Short ones give their
-    pairs as candidates. In a long one all members share an element that at most half of the list have, so it is a list of the same
-    kind, of at most half the length, around a centre of its own: it goes the same way in the next round. No pair is lost. x is
+    shares at least (x(X) + x(Y)) / 2 > 0 elements of D(Y) with it, and at least x(X) - h * |Y|, as Y is then about as far from L as X; so in one order of
+    the elements the two meet within the first |D| minus that bound plus 1 of both. X has at most (1 - t) * |X| hashes that Y lacks, so where
+    more of X's stand before all others, that many plus 1 are enough. Only these become entries: a share of a member's size, however far from L
+    it is. Elements that the members behind L don't share come first, then the others from rare to frequent, so the inverted lists are short,
+    and entries with too little left to meet anyone leave them. Short ones give their pairs as candidates. In a long one all members
+    share an element that few have, so it is a shorter list of the same kind, around a centre of its own (an element of all members is
+    in L, if they share it, or in no D), and goes the same way in the next round. No pair is lost. x is
     held times 100 + percent, in whole numbers, so that members exactly at the limit are on the right side of it.
     """
     more, less = 100 + percent, 100 - percent  # h = less / more
     members = members.withColumn("part", F.pmod(F.xxhash64("rep"), (F.col("m") / SPLIT).cast("int") + 1).cast("int"))
-    # differences from any one member tell how many have each hash, and near copies have few: sets aren't listed element by element
-    one = members.groupBy("value", "m").agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"))
-    first = _dealt(one.join(sets, "rep").select("value", "m", F.col("shingles").alias("first")))
-    apart = cut(
+    centres = _dealt(_centres(members, sets))
+    offset = (
         members.join(sets, "rep")
-        .join(first.drop("m"), ["value", "part"])
-        .select("value", "rep", "m", "part", F.size("shingles").alias("n"), _difference("shingles", "first").alias("e"))
-    )
-    counts = cut(apart.select("value", "m", F.explode("e").alias("s")).groupBy("value", "m", "s").agg(F.count("*").alias("c")))
-    # where most members differ from the first it is L that differs from it; at most twice the mean size of a set
-    flips = _dealt(counts.filter("2 * c > m").groupBy("value", "m").agg(F.collect_list("s").alias("flip")))
-    offset = cut(
-        apart.join(flips.drop("m"), ["value", "part"], "left")
-        .withColumn("flip", F.coalesce("flip", F.array().cast("array<long>")))
-        .select("value", "rep", "m", "part", "n", _difference("e", "flip").alias("e"))
+        .join(centres.drop("m"), ["value", "part"])
+        .select("value", "rep", "m", "part", F.size("shingles").alias("n"), _difference("shingles", "centre").alias("e"), "common")
+        .withColumn("rare", F.array_sort(F.array_except("e", "common")))  # hashes, so their own order is a random one
+        .select("value", "rep", "m", "part", "n", F.size("rare").alias("fresh"), F.concat("rare", F.array_intersect("common", "e")).alias("e"))
         .withColumn("d", F.size("e"))
         .withColumn("x", more * F.col("d").cast("long") - less * F.col("n"))
     )
+    offset = cut(offset)
     near = cut(offset.groupBy("value", "m").agg(F.min(F.struct("x", "rep")).alias("best"), F.max("x").alias("worst")))
     placed = offset.join(_dealt(near).drop("m"), ["value", "part"]).withColumn("stray", F.col("x") + F.col("best.x") > 0)
     links = placed.filter("not stray").select(F.col("best.rep").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     # the least share that any pair of a stray and this member must have: of a stray, with the best; of another, with the least stray
     least = F.when(F.col("stray"), F.col("x") + F.col("best.x")).otherwise(F.col("x") - F.col("best.x"))
-    need = F.greatest(F.lit(1), F.ceil(least / (2 * more))).cast("int")
-    short = placed.filter("worst + best.x > 0").withColumn("prefix", F.col("d") - need + 1).filter("prefix > 0")
-    short = cut(short.select("value", "rep", "n", "stray", "e", "d", "x", "prefix"))
-    # in one order for all members of a list: first the elements at which no stray meets anyone, which need no entry but take their
-    # places, then the others, rare ones first
+    most = F.floor(100 * F.col("n") / percent)  # of a partner's size
+    need = F.greatest(F.lit(1), F.ceil(least / (2 * more)), F.ceil((F.col("x") - less * most) / more)).cast("int")
+    own = F.floor((100 - percent) * F.col("n") / 100) + 1
+    prefix = F.least(F.col("d") - need + 1, F.when(F.col("fresh") >= own, own)).cast("int")
+    short = placed.filter("worst + best.x > 0").withColumn("prefix", prefix).filter("prefix > 0")
     tasks = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the members of a list came from few tasks
-    each = short.repartition(tasks).select("value", "rep", "n", "stray", "x", "d", "prefix", F.explode("e").alias("s"))
+    first = short.select("value", "rep", "n", "stray", "x", "d", F.slice("e", F.lit(1), F.col("prefix")).alias("e")).repartition(tasks)
+    each = first.select("value", "rep", "n", "stray", "x", "d", F.posexplode("e").alias("i", "s"))
     listed = each.select("*", _of_element(F.count("*")).alias("df"), _of_element(F.max("stray")).alias("asked")).filter("df > 1 and asked")
-    member = Window.partitionBy("value", "rep")
-    place = F.col("d") - F.count("*").over(member) + F.row_number().over(member.orderBy("df", "s"))
-    ranked = cut(listed.withColumn("i", place).filter("i <= prefix").select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("i") + 1).alias("left"), "s"))
+    ranked = cut(listed.select("value", "rep", "n", "stray", "x", (F.col("d") - F.col("i")).alias("left"), "s"))
     for _ in range(2):
         ranked = cut(_within_reach(ranked, more))
     key = ["value", "s"]
@@ -284,7 +298,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     ids = likely.select(F.col("a").alias("rep")).union(likely.select("b")).union(long_lists.select("rep")).distinct()
     sets = cut(_full_sets(df, id_col, text_col, cut(ids), words))
     star = likely.select("a", "b").limit(0)
-    while not long_lists.isEmpty():  # each round's lists are at most half as long as those before
+    while not long_lists.isEmpty():  # each round's lists are shorter than those before, nearly always at most half as long
         links, more, longer = _hot_pairs(long_lists, sets, percent)
         star, likely = star.unionByName(cut(links)), likely.unionByName(cut(more).withColumn("estimate", F.lit(0.0)))
         long_lists = cut(longer)

@@ -739,3 +739,33 @@ def test_steps_in_single_precision_go_down_the_slope():
     held = secret_scan._ROOM["runs", single.filters.dtype]
     secret_scan._Steps(single, 0.001)(x, y)
     assert secret_scan._ROOM["runs", single.filters.dtype] is held  # taken anew at each step before
+
+
+def generated_rows(spark, since):
+    """Rows made by generators in the executions from that one on."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    for at in range(since, store.executionsList().size()):
+        execution = store.executionsList().apply(at).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in [nodes.apply(i) for i in range(nodes.size())]:
+            if node.name() == "Generate":
+                rows = [values.get(node.metrics().apply(i).accumulatorId()) for i in range(node.metrics().size()) if "output rows" in node.metrics().apply(i).name()]
+                made += sum(int(r.get().replace(",", "")) for r in rows if r.isDefined())
+    return made
+
+
+def test_long_lists_of_texts_that_share_only_a_passage(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    sets, members = [], []
+    for i in range(120):
+        texts = passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(140))
+        sets.append((i, [int(h) for h in near_dedup.Shingler().hashes(texts)]))
+        members.append((7, i, 120))
+    sets.append((120, sets[5][1][:-2]))  # one near pair
+    members = spark.createDataFrame([(v, r, 121) for v, r, _ in [*members, (7, 120, 0)]], "value long, rep long, m long")
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    links, more, longer = near_dedup._hot_pairs(members, spark.createDataFrame(sets, "rep long, shingles array<long>"), 85)
+    met = {(r.a, r.b) for r in more.collect()} | {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()}
+    assert (5, 120) in met and longer.isEmpty()
+    assert generated_rows(spark, since) < 40 * 121  # some 400 a member before: every element of every difference, twice
