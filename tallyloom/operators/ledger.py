@@ -7,8 +7,10 @@ events, and what is current is what no correction names.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,30 +77,43 @@ def head(resolved: DataFrame) -> DataFrame:
     return resolved.select("event_id").join(named, "event_id", "left_anti")
 
 
-def _kahn(part: pd.DataFrame) -> pd.DataFrame:
-    """One component's order: of the events whose inputs are placed, the smallest id goes next."""
-    waits = {e: len(i) for e, i in zip(part["event_id"], part["ins"], strict=True)}
+def _kahn(ins: dict[str, list[str]]) -> list[tuple[str, int, str | None]]:
+    """(event, pos, reach) of one component, given by the inputs of its events: of those whose inputs are placed, the smallest id goes next."""
+    waits = {e: len(i) for e, i in ins.items()}
     after: dict[str, list[str]] = {}
-    for e, ins in zip(part["event_id"], part["ins"], strict=True):
-        for i in ins:
+    for e, before in ins.items():
+        for i in before:
             after.setdefault(i, []).append(e)
     ready = [e for e, n in waits.items() if n == 0]
     heapq.heapify(ready)
-    order = []
+    out, reach = [], ""
     while ready:
         e = heapq.heappop(ready)
-        order.append(e)
+        reach = max(reach, e)
+        out.append((e, len(out), reach))
         for d in after.get(e, ()):
             waits[d] -= 1
             if waits[d] == 0:
                 heapq.heappush(ready, d)
-    out = pd.DataFrame({"event_id": order, "pos": range(len(order))})
-    out["reach"] = out["event_id"].cummax() if len(out) else out["event_id"]
-    stuck = sorted(set(waits) - set(order))
-    if stuck:
-        out = pd.concat([out, pd.DataFrame({"event_id": stuck, "pos": [-1] * len(stuck), "reach": [None] * len(stuck)})])
-    out["component"] = part["component"].iloc[0] if len(part) else None
-    return out[["event_id", "component", "pos", "reach"]]
+    placed = {e for e, _, _ in out}
+    return out + [(e, -1, None) for e in sorted(waits) if e not in placed]
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The order of each component of rows (component, event_id, ins) that come component by component."""
+    names = ["event_id", "component", "pos", "reach"]
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    out: list[tuple] = []
+    for component, members in groupby(rows, key=lambda row: row[0]):
+        out += [(e, component, pos, reach) for e, pos, reach in _kahn({e: ins for _, e, ins in members})]
+        if len(out) >= 10_000:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ORDER, strict=True)], names)
+            out = []
+    if out:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ORDER, strict=True)], names)
+
+
+_ORDER = [pa.string(), pa.string(), pa.int64(), pa.string()]
 
 
 def topological(events: DataFrame) -> DataFrame:
@@ -112,7 +127,8 @@ def topological(events: DataFrame) -> DataFrame:
     part = components(linked, "event_id", "input_id")
     ins = linked.groupBy("event_id").agg(F.sort_array(F.collect_list("input_id")).alias("ins"))
     placed = part.withColumnRenamed("node", "event_id").join(ins, "event_id", "left").withColumn("ins", F.coalesce("ins", F.array().cast("array<string>")))
-    ordered = placed.groupBy("component").applyInPandas(_kahn, "event_id string, component string, pos long, reach string")
+    together = placed.repartition("component").sortWithinPartitions("component").select("component", "event_id", "ins")
+    ordered = together.mapInArrow(_ordered, "event_id string, component string, pos long, reach string")
     alone = events.select("event_id").distinct().join(part.select(F.col("node").alias("event_id")), "event_id", "left_anti")
     return ordered.unionByName(alone.select("event_id", F.col("event_id").alias("component"), F.lit(0).cast("long").alias("pos"), F.col("event_id").alias("reach")))
 

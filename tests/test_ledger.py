@@ -95,3 +95,19 @@ def test_canonical_udfs(spark):
     df = spark.createDataFrame([('{"b":1,"a":[2.5]}',), (None,), ("{",)], "j string")
     assert [r[0] for r in df.select(canonical.canonical_udf("j")).collect()] == ['{"a":[2.5],"b":1}', None, None]
     assert [r[0] for r in df.limit(2).select(canonical.float_path_udf("j")).collect()] == ["a[0]", None]
+
+
+def test_chains_that_lie_together_are_one_star_at_once(spark):
+    from tallyloom.operators import graph
+
+    chain = [(f"e{i:04d}", f"e{i + 1:04d}") for i in range(600)] + [("x1", "x2"), ("x3", "x2"), ("x1", "x3")]
+    edges = spark.createDataFrame(chain, "x string, y string").coalesce(1)
+    got = {(r.x, r.y) for r in graph._contracted(edges).collect()}
+    assert got == {(f"e{i:04d}", "e0000") for i in range(1, 601)} | {("x2", "x1"), ("x3", "x1")}
+    found = {r.node: r.component for r in graph.components(edges.repartition(7), "x", "y", max_rounds=12).collect()}
+    assert found == {f"e{i:04d}": "e0000" for i in range(601)} | {"x1": "x1", "x2": "x1", "x3": "x1"}
+    assert graph.components(edges, "x", "y", max_rounds=2).count() == 604  # more rounds before
+    odd = spark.createDataFrame([(float("nan"), 2.0), (2.0, 1.0)], "x double, y double")
+    assert {r.component for r in graph.components(odd, "x", "y").collect()} == {1.0}
+    pairs = spark.createDataFrame([((1, 2), (3, 4))], "x struct<a: int, b: int>, y struct<a: int, b: int>")
+    assert graph.components(pairs, "x", "y").count() == 2
