@@ -205,6 +205,27 @@ def test_condense_of_many_observations_reads_no_pair_twice(monkeypatch):
     assert emergence.condense(p[:90], 0.5) == brute_condense(p[:90], 0.5)
 
 
+def test_condense_ends_only_when_nothing_gains():
+    """More merges than the 2,000 that once were the limit: each of eleven kinds becomes one cluster, in all tiers' code."""
+    rng = np.random.default_rng(5)
+    p = np.stack([one_hot(i % 11, 0.9) for i in range(2200)]) + rng.dirichlet(np.full(12, 50.0), 2200) * 0.02
+    p /= p.sum(axis=1, keepdims=True)
+    figs, residual = emergence.figures([str(i) for i in range(2200)], [str(i % 7) for i in range(2200)], p, emergence.Policy())
+    assert residual == [] and sorted(sorted({int(m) % 11 for m in f["members"]}) for f in figs) == [[k] for k in range(11)]
+
+
+def test_condense_equals_brute_force_with_ties_and_empty_rows(monkeypatch):
+    """Rows of few distinct values, some without mass, and lists too short for what is near."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(emergence, "FIRST", 4)
+    monkeypatch.setattr(emergence, "LISTED", 3)
+    for case in range(8):
+        p = rng.multinomial(8, rng.dirichlet(np.full(6, 0.6)), 24) / 8
+        p[::9] = 0.0
+        overhead = [0.1, 0.5, 1.0, 2.0][case % 4]
+        assert emergence.condense(p, overhead) == brute_condense(p, overhead)
+
+
 def test_the_bounds_of_pairs_hold():
     rng = np.random.default_rng(4)
     p = np.round(np.concatenate([rng.dirichlet(np.full(27, a), 40) for a in (0.02, 0.3, 5.0)] + [np.zeros((2, 27))]), 6)
