@@ -182,6 +182,29 @@ def test_rungs(spark):
     assert company.rungs(stream.limit(0)).collect() == []
 
 
+def test_rungs_are_climbed_to_the_end(spark, monkeypatch):
+    """Far more rungs than pools hold at first; chapters of few pairs, signs that the pool leaves out, and words that look like signs."""
+    monkeypatch.setattr(company, "CHAPTER", 150)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)] + ["§3", "§11", "§007", "§999"]
+    docs = [[rng.choice(words[: rng.choice([8, 40, 124])]) for _ in range(30)] + ["§3", company.BOUNDARY, "w1"] for _ in range(40)]
+    sizes = {"frame_size": 9, "pool_size": 12, "least": 3, "k": 4, "floor": 0.3}
+    stream = spark.createDataFrame([(d, i, t) for d, seq in enumerate(docs) for i, t in enumerate(seq)], "doc int, pos int, token string")
+    got = {(r.rung, r.token, r.slot, r.size, r.freq) for r in company.rungs(stream, **sizes).collect()}
+    want, now = set(), docs
+    for rung in range(1000):
+        groups, freq = plain_slots(now, **sizes)
+        slot_of = {t: i for i, g in enumerate(groups) for t in g}
+        want |= {(rung, t, s, len(groups[s]), freq[t]) for t, s in slot_of.items()}
+        if all(len(g) == 1 for g in groups):
+            break
+        now = [[f"§{slot_of[t]}" if t in slot_of else t for t in d] for d in now]
+    assert got == want and max(r for r, *_ in got) > 6
+    monkeypatch.setattr(company, "DENSE", 1)
+    wide = {(r.rung, r.token, r.slot, r.size, r.freq) for r in company.rungs(stream, most=2, **sizes).collect()}
+    assert wide == {r for r in want if r[0] < 2}
+
+
 def test_sediment_replaces_registers(spark):
     seeds = conventions.seed(spark, {"copula": ["is", "was"], "demonym": ["french"], "abbreviation": ["mr"]})
     induced = spark.createDataFrame([("copula", "Ist.", 9), ("copula", "was", 4), ("starter", "the", 3)], "register string, token string, weight long")
