@@ -105,6 +105,16 @@ def test_projection_is_stable(spark):
     assert a == b and len(a) == 2 and all(r.holons_figure + r.holons_pattern > 0 for r in a)
 
 
+def test_builds_of_x02_run_beside_each_other(spark, monkeypatch):
+    """All three builds begin before any ends."""
+    import threading
+
+    began, plain = threading.Barrier(3), projections.publication.build
+    monkeypatch.setattr(projections.publication, "build", lambda *a, **k: began.wait(60) is not None and plain(*a, **k))
+    got = {(r.build, r.outcome) for r in projections.x02_rebuilt(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {("other order", "reproduced"), ("events gone", "diverged")}
+
+
 def test_claims(spark):
     arg = "struct<text:string,id:string,start:int,end:int>"
     log = spark.createDataFrame([(1, 0, 0, "SEG", "argspan", ("A", "a", 0, 1), ("v", None, 2, 3), ("B", None, 4, 5), None, None, None), (1, 1, 0, "SEG", "argspan", None, None, ("B", None, 4, 5), None, None, None), (1, 2, 1, "SYN", "alias", None, None, None, None, None, None), (1, 3, 1, "SYN", "alias", None, None, None, None, None, None), (1, 4, 1, "EVA", None, None, None, None, "merge", "corroborated", 3)], f"doc int, seq int, sent int, op string, kind string, subject {arg}, verb {arg}, object {arg}, site string, verdict string, ref int")
