@@ -214,6 +214,15 @@ def test_condense_ends_only_when_nothing_gains():
     assert residual == [] and sorted(sorted({int(m) % 11 for m in f["members"]}) for f in figs) == [[k] for k in range(11)]
 
 
+def test_condense_bounds_merged_clusters_too(monkeypatch):
+    """To the end of all merges exact gains are worked out for a small part of the pairs, not for each row after each merge."""
+    p = np.random.default_rng(8).dirichlet(np.full(27, 0.7), 900)
+    worked_out, plain = [], emergence._gains
+    monkeypatch.setattr(emergence, "_gains", lambda s, w, o: worked_out.append(len(s)) or plain(s, w, o))
+    found = emergence.condense(p, 1.0)
+    assert len(found) < 100 and sum(worked_out) < 0.25 * len(p) ** 2 / 2
+
+
 def test_condense_equals_brute_force_with_ties_and_empty_rows(monkeypatch):
     """Rows of few distinct values, some without mass, and lists too short for what is near."""
     rng = np.random.default_rng(6)
